@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package's sources to the executors, once for each application, by Spark's own file server."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    kept = Path(tempfile.gettempdir(), f"{top.name}-{uuid.uuid4().hex[:8]}.zip").absolute()
+    with zipfile.ZipFile(kept, "w") as out:
+        for f in sorted(top.rglob("*.py")):
+            out.write(f, Path(top.name, f.relative_to(top)))
+    sc.addPyFile(str(kept))
+    atexit.register(lambda: kept.unlink(missing_ok=True))
+    _shipped.add(sc.applicationId)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by Spark's reader only."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
