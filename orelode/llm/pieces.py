@@ -11,11 +11,12 @@ dropped, and chunks over ``LONG`` characters are never remembered.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -182,13 +183,14 @@ class _Encoded(dict):
             self.automaton.add_word(name, (len(name), score, model.ids[name]))
         self.automaton.make_automaton()
 
-    def __missing__(self, chunk: str) -> list[int]:
+    def __missing__(self, chunk: str) -> bytes:
         ids: list[int] = []
         for end, number in _segments(chunk, self.automaton, self.model.singles, self.unknown):
             ids += [number] if number >= 0 else [self.model.byte_ids[x] for x in chunk[end - 1].encode()]
+        packed = array("i", ids).tobytes()
         if len(chunk) <= LONG:
-            self[chunk] = ids
-        return ids
+            self[chunk] = packed
+        return packed
 
 
 _ready: dict[tuple[int, str], tuple[Model, dict]] = {}
@@ -236,17 +238,17 @@ def token_counts(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str =
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def encode_text(text: str, cache: dict, chunks) -> list[int]:
-    """Piece ids of a text; the escape character itself, met in a text, goes through byte fallback so that decoding is exact."""
+def encode_text(text: str, cache: dict, chunks) -> np.ndarray:
+    """Piece ids (int32) of a text; the escape character itself, met in a text, goes through byte fallback so that decoding is exact."""
     if not text:
-        return []
-    ids: list[int] = []
+        return np.empty(0, np.int32)
+    look, packed = cache.__getitem__, []
     for k, part in enumerate(text.split(SPACE)):
         if k:
-            ids += [cache.model.byte_ids[x] for x in SPACE.encode()]
+            packed.append(array("i", [cache.model.byte_ids[x] for x in SPACE.encode()]).tobytes())
         part = part.replace(" ", SPACE)
-        ids += chain.from_iterable(map(cache.__getitem__, chunks(part if k else SPACE + part)))
-    return ids
+        packed.append(b"".join(map(look, chunks(part if k else SPACE + part))))
+    return np.frombuffer(b"".join(packed), np.int32)
 
 
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,9 +268,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 part = batch.slice(low, 512)
                 sizes, flat = [0], []
                 for text in strings(part.column(1)):
-                    flat.append(np.array(encode_text(text, cache, rules.chunks), np.int32))
+                    flat.append(encode_text(text, cache, rules.chunks))
                     sizes.append(sizes[-1] + len(flat[-1]))
-                    if len(cache) > CACHE // 3:
+                    if len(cache) > CACHE:
                         cache.clear()
                 ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
@@ -276,22 +278,59 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode_ids(ids, output: list[bytes]) -> str:
-    """The text of piece ids: their bytes in a row, without the dummy blank in front."""
-    return b"".join(map(output.__getitem__, ids))[1:].decode("utf-8", "replace")
+class Decoder:
+    """The bytes of all pieces in one buffer, to be gathered by id."""
+
+    def __init__(self, model: Model):
+        self.flat = np.frombuffer(b"".join(model.output), np.uint8)
+        self.size = np.array([len(x) for x in model.output], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def text(self, ids: np.ndarray) -> str:
+        """The pieces' bytes in a row, without the dummy blank in front."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        if not len(ids) or not ends[-1]:
+            return ""
+        at = np.repeat(self.start[ids] - (ends - size), size) + np.arange(ends[-1])
+        return self.flat[at].tobytes()[1:].decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
-    """Texts of ``encode``'s rows: ``doc_id, ids, text``; null ids give an empty text."""
+    """Texts of ``encode``'s rows: ``doc_id, ids, text``; null or no ids give an empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        output = _worker(shared.value, _Encoded)[0].output
+        decoder = Decoder(Model(shared.value))
         for batch in batches:
-            ids, texts = batch.column(1), []
-            flat, at = ids.flatten().to_pylist(), np.concatenate([[0], np.cumsum(np.array([x.as_py() or 0 for x in pa.compute.list_value_length(ids)], np.int64))])
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                texts.append(decode_ids(flat[a:b], output) if b > a else "")
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            texts = [decoder.text(np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64)) if x.is_valid and len(x) else "" for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encodes and decodes whole texts in one pass and keeps digests only.
+
+    Returns ``doc_id, n_pieces, ids_sha256`` (of the ids as little-endian
+    32-bit numbers)``, n_bytes, decoded_sha256, exact`` (the decoded text is
+    the text). Null and empty texts have no pieces and decode to nothing.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, cache = _worker(shared.value, _Encoded)
+        decoder = Decoder(rules)
+        for batch in batches:
+            rows = []
+            for text in strings(batch.column(1)):
+                ids = encode_text(text, cache, rules.chunks)
+                if len(cache) > CACHE:
+                    cache.clear()
+                back = decoder.text(ids)
+                raw = back.encode()
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), len(raw), hashlib.sha256(raw).hexdigest(), back == text))
+            n, digest, size, decoded, exact = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(size, pa.int64()), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "n_bytes", "decoded_sha256", "exact"])
+
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, n_bytes long, decoded_sha256 string, exact boolean")

@@ -52,15 +52,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids, and digests both."""
-    docs, model = read_table(spark, sf_dir, "documents"), pieces.read_model(MODEL)
-    back = pieces.decode(pieces.encode(docs, model), model)
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    return pieces.round_trip(read_table(spark, sf_dir, "documents"), pieces.read_model(MODEL))
 
 
 def held_out(doc_id: str = "doc_id"):
