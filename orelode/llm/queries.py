@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, merkle, pieces, pii, quality, toxicity
+from . import joins, lines, merkle, pieces, pii, quality, suffix, toxicity
 from .common import read_table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -67,6 +67,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.likeness_components(read_table(spark, sf_dir, "documents"), percent=75, size=5).drop("class_id")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.drop_repeats(read_table(spark, sf_dir, "documents"), width=100)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the base spans; all spans."""
     found = pii.find(read_table(spark, sf_dir, "documents"), pii.train())
@@ -84,5 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_toxicity": op7_toxicity,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
 }
