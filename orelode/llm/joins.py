@@ -222,3 +222,21 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
     tagged = rows.join(classes, ["k1", "k2"], "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     lone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return tagged.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("rep.doc_id")).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, size: int = WORDS) -> DataFrame:
+    """``docs`` (with ``doc_id, text``), less all documents but the one of smallest id of each component.
+
+    Of rows that share an id, the one with the smallest hash of its text stays;
+    rows without an id stay. All columns are kept as they are.
+    """
+    found = cut(likeness_components(docs, percent, size).select("doc_id", "component_id"))
+    gone = cut(found.where("doc_id != component_id").select("doc_id").distinct())
+    left = docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    twins = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    n = twins.count()
+    if not n:
+        return left
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = left.join(_small(twins, n), "doc_id", "left_semi").withColumn("__at", F.row_number().over(order)).where("__at = 1").select(*docs.columns)
+    return left.join(_small(twins, n), "doc_id", "left_anti").select(*docs.columns).unionByName(first)

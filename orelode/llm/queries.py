@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import joins, lines, merkle, pieces, pii, quality, suffix, toxicity
+from . import joins, leaks, lines, merkle, pieces, pii, quality, suffix, toxicity
 from .common import read_table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), similarity=0.75, recall=0.97)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(read_table(spark, sf_dir, "documents"), pieces.read_model(MODEL))
 
@@ -87,6 +91,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,

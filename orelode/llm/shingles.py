@@ -48,13 +48,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, row and hash of each word of the rows raw[at[i]:at[i + 1]]."""
+def words(raw: np.ndarray, at: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row and hash of each word of the rows raw[at[i]:at[i + 1]]; ``blank`` marks the bytes between words."""
     n = len(raw)
     if not n:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64)
-    inside = ~_BLANK[raw]
+    inside = ~blank[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = at[1:-1]
