@@ -30,8 +30,9 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated three-line windows out of the texts; documents stay, with what is left of them."""
-    return lines.drop_repeated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Takes repeated three-line windows out of the texts; a document that loses its whole text goes."""
+    left = lines.drop_repeated(docs).where("n_removed = 0 or text != ''")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

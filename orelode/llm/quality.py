@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import id_text, strings
 
@@ -167,7 +168,7 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 
     if keep:
         rest = docs.drop("expected_grade", "tails")
-        return rest.mapInArrow(rows, rest.schema.add("expected_grade", "double").add("tails", "array<double>"))
+        return rest.mapInArrow(rows, StructType([*rest.schema.fields, StructField("expected_grade", DoubleType()), StructField("tails", ArrayType(DoubleType()))]))
     return id_text(docs, id_col, text_col).mapInArrow(rows, "doc_id long, expected_grade double, tails array<double>")
 
 
