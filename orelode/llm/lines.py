@@ -18,13 +18,16 @@ HOT = 1e-3
 
 
 def _windows(text: Column, size: int) -> Column:
-    """array<struct<a, b>> of the windows' hashes, in order of position; empty for fewer lines."""
+    """array<struct<a, b>> of the windows' hashes, in order of position; for ``size`` lines or more.
+
+    Shifted copies of the line hashes are zipped, so no function of an element
+    looks at a whole array: the work is linear in the lines.
+    """
     lines = F.split(text, "\n", -1)
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
-    return F.transform(
-        F.sequence(F.lit(0), F.size(lines) - size),
-        lambda i: F.struct(F.xxhash64(*[F.get(hashed, i + k)["a"] for k in range(size)]).alias("a"), F.xxhash64(F.lit(7), *[F.get(hashed, i + k)["b"] for k in range(size)]).alias("b")),
-    )
+    hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    shifted = F.arrays_zip(*[F.slice(hashes, k + 1, F.size(lines) - (size - 1)).alias(f"h{k}") for k in range(size)])
+    part = lambda z, side: [z.getField(f"h{k}").getField(side) for k in range(size)]
+    return F.transform(shifted, lambda z: F.struct(F.xxhash64(*part(z, "a")).alias("a"), F.xxhash64(F.lit(7), *part(z, "b")).alias("b")))
 
 
 def drop_repeated(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,18 +56,18 @@ def drop_repeated(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_c
     cold = firsts.where(F.col("__n") <= total * HOT).select("__a", "__b", "__first")
     later = found.join(F.broadcast(hot), ["__a", "__b"]).unionByName(found.join(cold, ["__a", "__b"])).where(~place.eqNullSafe(F.col("__first")))
     covered = later.groupBy("__id", "__hash").agg(F.collect_set("__at").alias("__starts"))
-    left = docs.drop("n_lines", "n_removed", "n_spans").withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(text)}).alias("l")
-    right = covered.alias("r")
-    joined = left.join(right, F.col("l.__id").eqNullSafe(F.col("r.__id")) & (F.col("l.__hash") == F.col("r.__hash")), "left").drop(F.col("r.__id"), F.col("r.__hash"))
-    lines = F.split(text, "\n", -1)
+    # The lines are split below the join, so that above it they are a plain column.
+    left = docs.drop("n_lines", "n_removed", "n_spans").withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(text), "__lines": F.split(text, "\n", -1)}).drop(text_col).alias("l")
+    right = covered.select(F.col("__id").alias("__rid"), F.col("__hash").alias("__rhash"), "__starts")
+    joined = left.join(right, F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__hash") == F.col("__rhash")), "left")
     marked = joined.withColumn("__gone", F.when(F.col("__starts").isNull(), F.array().cast("array<int>")).otherwise(F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (size - 1)))))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     out = marked.withColumns(
         {
-            "n_lines": F.size(lines).cast("long"),
+            "n_lines": F.size("__lines").cast("long"),
             "n_removed": F.size("__gone").cast("long"),
             "n_spans": F.size(F.array_except("__gone", F.transform("__gone", lambda x: x + 1))).cast("long"),
-            text_col: F.when(F.size("__gone") == 0, text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")),
+            text_col: F.array_join(F.when(F.size("__gone") == 0, F.col("__lines")).otherwise(F.transform(kept, lambda i: F.get("__lines", i))), "\n"),
         }
     )
     return out.select(*[F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_spans")], "n_lines", "n_removed", "n_spans")
