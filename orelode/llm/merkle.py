@@ -50,11 +50,12 @@ def edits(a: Column, b: Column) -> Column:
     """Where two trees differ: array of positions (from 0) of the paragraphs of ``a`` that ``b`` lacks; empty for equal roots.
 
     Sections that both have are settled by their nodes; only paragraphs that
-    ``b`` has nowhere remain, so moved paragraphs don't count.
+    ``b`` has nowhere remain, each by its first place, so moved paragraphs
+    don't count.
     """
-    other = F.array_except(a["paragraphs"], b["paragraphs"])
-    at = F.transform(a["paragraphs"], lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-    return F.when((a["root"] == b["root"]) | (F.size(F.array_except(a["sections"], b["sections"])) == 0), F.array().cast("array<int>")).otherwise(F.transform(F.filter(at, lambda x: F.array_contains(other, x["p"])), lambda x: x["i"]))
+    none = F.array().cast("array<int>")
+    places = F.transform(F.array_except(a["paragraphs"], b["paragraphs"]), lambda p: (F.array_position(a["paragraphs"], p) - 1).cast("int"))
+    return F.when((a["root"] == b["root"]) | (F.size(F.array_except(a["sections"], b["sections"])) == 0), none).otherwise(places)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
