@@ -70,7 +70,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     single row is its own next. No task sees all rows: ids are dealt to buckets
     by quantiles (and evenly within each), rows are ordered in their bucket,
     and each bucket also gets the first row of the bucket below. Texts are
-    shuffled once.
+    shuffled once, and alone: trees are grown from them afterwards.
     """
     low = F.lit(-(2**63)).cast("long")
     rows = id_text(docs, id_col, text_col).withColumn("__id", F.coalesce("doc_id", low))
@@ -89,6 +89,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     around = Window.orderBy(F.col("__bucket").desc())  # a row for each bucket, BUCKETS + CUTS at most
     ring = tops.select("__id", F.coalesce(F.lag("__bucket").over(around), F.min("__bucket").over(Window.partitionBy())).alias("__bucket"))
     guests = rows.join(F.broadcast(ring), "__id").withColumn("__guest", F.lit(1))
-    both = dealt.withColumn("__guest", F.lit(0)).unionByName(guests).withColumn("tree", tree(F.col("text")))
+    both = dealt.withColumn("__guest", F.lit(0)).unionByName(guests)
     order = Window.partitionBy("__bucket").orderBy("__guest", F.col("__id").desc(), F.xxhash64("text"))
-    return both.withColumn("__next", F.lead(F.struct("text", "tree")).over(order)).where("__guest = 0").select("doc_id", "text", "tree", F.col("__next.text").alias("next_text"), F.col("__next.tree").alias("next_tree"))
+    beside = both.withColumn("next_text", F.lead("text").over(order)).where("__guest = 0")
+    return beside.select("doc_id", "text", tree(F.col("text")).alias("tree"), "next_text", tree(F.col("next_text")).alias("next_tree"))
