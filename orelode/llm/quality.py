@@ -59,6 +59,13 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(counts / len(words))
 
 
+def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of a text's features other than zero."""
+    x = features(text)
+    cols = np.flatnonzero(x)
+    return cols.astype(np.int32), x[cols].astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Ordinal:
     """A fitted model: grades ``0 .. len(thresholds)``."""
@@ -72,22 +79,20 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], steps: int = 300, rate: float = 0.3, shrink: float = 1e-4) -> Ordinal:
-    """Maximum likelihood of the cumulative-link model, by Adam on all rows.
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate: float = 0.3, shrink: float = 1e-4) -> Ordinal:
+    """Maximum likelihood of the cumulative-link model, by Adam on all rows (buckets, values, grade).
 
     The thresholds are a base plus the running sum of positive gaps, so they
     stay in order. Grades weigh the same in sum, whatever their shares.
     With no rows, or a single grade, the model has the one tail probability
     1/2 for everything.
     """
-    grades = np.array([g for _, g in rows], np.int64)
+    grades = np.array([r[2] for r in rows], np.int64)
     top = int(grades.max()) if len(rows) else 0
     if not len(rows) or len(set(grades.tolist())) < 2:
         return Ordinal(np.zeros(DIM), np.zeros(max(1, top)))
-    nonzero = [np.flatnonzero(x) for x, _ in rows]
-    at = np.concatenate([[0], np.cumsum([len(i) for i in nonzero])])
-    cols, vals = np.concatenate(nonzero), np.concatenate([x[i] for (x, _), i in zip(rows, nonzero, strict=True)])
-    row = np.repeat(np.arange(len(rows)), np.diff(at))
+    cols, vals = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     share = np.bincount(grades, minlength=top + 1)
     weight = 1 / (share[grades] * (share > 0).sum())
     w, base, gaps = np.zeros(DIM), -1.0, np.zeros(max(0, top - 1))
@@ -112,7 +117,7 @@ def fit(rows: list[tuple[np.ndarray, int]], steps: int = 300, rate: float = 0.3,
     return Ordinal(w, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[np.ndarray, int]]:
+def rated_sample(docs: DataFrame, ratings: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Features of at most ``most`` rated documents, gathered on the driver.
 
     ``ratings`` has ``doc_id, grade`` (0, 1, ...; nulls are left out). Each
@@ -133,16 +138,11 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, most: int = 4000, id_col:
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
-                found = [features(t) for t in strings(part.column(1))]
-                nonzero = [np.flatnonzero(x).astype(np.int32) for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i.tobytes() for i in nonzero]), pa.array([x[i].astype(np.float32).tobytes() for x, i in zip(found, nonzero, strict=True)])], names=["grade", "cols", "vals"])
-
-    out = []
-    for r in id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(rows, "grade int, cols binary, vals binary").collect():
-        x = np.zeros(DIM)
-        x[np.frombuffer(r["cols"], np.int32)] = np.frombuffer(r["vals"], np.float32)
-        out.append((x, r["grade"]))
-    return sorted(out, key=lambda r: (r[1], r[0].tobytes()))
+                found = [sparse(t) for t in strings(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["grade", "cols", "vals"])
+
+    got = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(rows, "grade int, cols binary, vals binary").collect()
+    return [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32), g) for g, c, v in sorted((r["grade"], bytes(r["cols"]), bytes(r["vals"])) for r in got)]
 
 
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
