@@ -1,9 +1,184 @@
 """The registered queries of the engine and their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from . import oracle
+from .functions.scalars import itemset_key, log_complement
+from .model import Join
+from .operators import extend as ext
+from .operators import stats, topk
+from .operators.entries import entries, first_level, item_lists
+from .plans.mine import mine
+from .sources import fixtures, text
+
+
+def _occ(spark: SparkSession, d: str, shape: str) -> DataFrame:
+    return fixtures.occ(spark, d, shape)
+
+
+def _priced(spark: SparkSession, d: str, shape: str) -> DataFrame:
+    return stats.with_profit(_occ(spark, d, shape), fixtures.profit(spark, shape), fixtures.SHAPES[shape][0])
+
+
+def _ranks(spark: SparkSession, d: str, shape: str, p: float) -> DataFrame:
+    return stats.ranking(stats.valid_items(stats.item_stats(_priced(spark, d, shape)), p))
+
+
+def _entries(spark: SparkSession, d: str, shape: str, p: float) -> DataFrame:
+    return entries(_priced(spark, d, shape), _ranks(spark, d, shape, p), fixtures.SHAPES[shape][0])
+
+
+def _level(spark: SparkSession, d: str, shape: str, p: float, n: int, join: Join | str = "two_pointer") -> DataFrame:
+    base = _entries(spark, d, shape, p)
+    rows = first_level(base)
+    for _ in range(n - 1):
+        rows = ext.extend(rows, base, join)
+    return rows
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select(itemset_key(F.col("items")).alias("items"), "support", (F.round("eu", 4) + F.lit(0.0)).alias("eu"), F.round("ep", 6).alias("ep"), (F.round("pub", 4) + F.lit(0.0)).alias("pub"))
+
+
+def _stats_shown(found: DataFrame) -> DataFrame:
+    return found.select(F.col("item").cast("long").alias("item"), F.round("ptwu", 2).alias("ptwu"), F.round("ep", 6).alias("ep"), F.round("eu", 4).alias("eu"), "support")
+
+
+def _pairs(spark: SparkSession, d: str, shape: str = "u1", p: float = 0.7) -> DataFrame:
+    return ext.measured(_level(spark, d, shape, p, 2))
+
+
+def _best_items(spark: SparkSession, d: str, k: int) -> DataFrame:
+    found = item_lists(_entries(spark, d, "u1", 0.7)).withColumn("items", F.array("item"))
+    return topk.exact(topk.admitted(found, 0.7), k)
+
+
+def _mined(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    search, join, collector, shape, k, p = oracle.MINED[name]
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        found = mine(_occ(spark, d, shape), fixtures.profit(spark, shape), k, p, search, join, collector)
+        return _long(found, "rank", "size").withColumns({"items": itemset_key(F.col("items")), "eu": F.round("eu", 4) + F.lit(0.0), "ep": F.round("ep", 6)})
+
+    return query
+
+
+def _literal(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
+
+
+def _patterns(spark: SparkSession) -> DataFrame:
+    return _literal(spark, oracle.PATTERNS, "t string, eu double").select("t", F.split("t", ",").cast("array<int>").alias("items"), "eu")
+
+
+def _runs(spark: SparkSession) -> DataFrame:
+    return _literal(spark, [(c, float(t)) for c, ts in oracle.RUNS for t in ts], "config string, ms double")
+
+
+def run_statistics(runs: DataFrame) -> DataFrame:
+    """Statistics of run times by configuration."""
+    return runs.groupBy("config").agg(
+        F.round(F.avg("ms"), 6).alias("mean"),
+        F.round(F.median("ms"), 6).alias("median"),
+        F.round(F.stddev_pop("ms"), 6).alias("deviation"),
+        F.min("ms").alias("fastest"),
+        F.max("ms").alias("slowest"),
+        F.round(F.stddev_pop("ms") / F.avg("ms") * 100, 6).alias("variation"),
+    )
+
+
+def _prob(df: DataFrame) -> DataFrame:
+    return _long(df, "item", "qty").withColumn("prob", F.round("prob", 9))
+
+
+def _violations(x: DataFrame, y: DataFrame, worse) -> DataFrame:
+    return x.alias("x").join(stats.small(y, 1000).alias("y"), "first_rank").agg(F.count_if(worse).alias("violations"))
+
+
+def _singles(spark: SparkSession, d: str, shape: str, p: float) -> DataFrame:
+    return ext.measured(_level(spark, d, shape, p, 1)).select("first_rank", "pub", "ep")
+
+
+def _shards(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select(F.array_sort("items").alias("items"), "eu", (F.col("first_rank") % 4).cast("long").alias("shard"))
+
+
+def _local_best(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("shard").orderBy(*topk.best_first()))
+    found = _shards(spark, d).withColumn("place", place).where("place <= 5")
+    return _long(found, "place").select("shard", itemset_key(F.col("items")).alias("items"), F.round("eu", 4).alias("eu"), "place")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "fx_occ_u1": lambda s, d: _prob(_occ(s, d, "u1")),
+    "fx_occ_u2": lambda s, d: _prob(_occ(s, d, "u2")),
+    "fx_profit": lambda s, d: _long(fixtures.profit(s, "u2"), "item"),
+    "db_sizes": lambda s, d: text.sizes(_occ(s, d, "u1"), fixtures.profit(s, "u1")),
+    "tok_roundtrip": lambda s, d: _prob(text.parse_transactions(text.encode_lines(_occ(s, d, "u1")))),
+    "tok_reject": lambda s, d: _long(text.parse_tokens(_literal(s, [(1, i, t) for i, t in enumerate(oracle.TOKENS)], "tid long, at int, token string")).select("item", "qty", "prob"), "item", "qty"),
+    "tx_line_encode": lambda s, d: _occ(s, d, "u1").groupBy("tid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "qty"))), lambda x: F.concat_ws(":", x["item"], x["qty"])), " ").alias("line")),
+    "profit_join": lambda s, d: _prob(_priced(s, d, "u2")),
+    "profit_lookup": lambda s, d: _long(_occ(s, d, "u2").join(F.broadcast(fixtures.profit(s, "u2").where("item % 3 = 0")), "item", "left").groupBy("item", F.coalesce("profit", F.lit(0.0)).alias("profit")).agg(F.count("*").alias("n")), "item"),
+    "utility_rows": lambda s, d: stats.utilities(_priced(s, d, "u2")).select("tid", F.col("item").cast("long").alias("item"), (F.round("u", 2) + F.lit(0.0)).alias("u")),
+    "ptu_by_tx": lambda s, d: stats.ptu(_priced(s, d, "u2")).withColumn("ptu", F.round("ptu", 2)),
+    "ptu_broadcast": lambda s, d: stats.with_ptu(_priced(s, d, "u2")).select("tid", F.col("item").cast("long").alias("item"), F.round("ptu", 2).alias("ptu")),
+    "ptwu_by_item": lambda s, d: _stats_shown(stats.item_stats(_priced(s, d, "u2"))).select("item", "ptwu"),
+    "log_complement": lambda s, d: _literal(s, oracle.EDGES, "prob double").select("prob", (F.round(log_complement(F.col("prob")), 9) + F.lit(0.0)).alias("lc")),
+    "ep_by_item": lambda s, d: _stats_shown(stats.item_stats(_priced(s, d, "u2"))).select("item", "ep"),
+    "item_stats": lambda s, d: _stats_shown(stats.item_stats(_priced(s, d, "u2"))),
+    "item_stats_merge": lambda s, d: _stats_shown(stats.item_stats_merged(_priced(s, d, "u2"))),
+    "valid_items": lambda s, d: _stats_shown(stats.valid_items(stats.item_stats(_priced(s, d, "u2")), 0.94)),
+    "item_rank": lambda s, d: _long(_ranks(s, d, "u2", 0.0).select("item", "rank"), "item", "rank"),
+    "first_rank": lambda s, d: _long(stats.first_rank_at(_ranks(s, d, "u2", 0.0), 2e6), "rank"),
+    "suffix_sum": lambda s, d: _entries(s, d, "u1", 0.7).select("tid", F.col("item").cast("long").alias("item"), (F.round("ru", 2) + F.lit(0.0)).alias("ru")),
+    "entries": lambda s, d: _long(_entries(s, d, "u2", 0.0), "item", "rank").withColumns({"u": F.round("u", 2) + F.lit(0.0), "p": F.round("p", 9), "ru": F.round("ru", 2) + F.lit(0.0)}),
+    "entries_by_item": lambda s, d: _long(_entries(s, d, "u2", 0.0).groupBy("item").agg(F.count("*").alias("n"), F.min("tid").alias("first_tid"), F.max("tid").alias("last_tid")), "item"),
+    "item_lists": lambda s, d: _shown(item_lists(_entries(s, d, "u2", 0.0)).withColumn("items", F.array("item"))),
+    "support_count": lambda s, d: _shown(_pairs(s, d, "u2", 0.0)).select("items", "support"),
+    "topk_items": lambda s, d: _best_items(s, d, 10).select(itemset_key(F.col("items")).alias("items"), F.round("eu", 4).alias("eu"), F.round("ep", 6).alias("ep")),
+    "theta0": lambda s, d: topk.threshold(_best_items(s, d, 10), 10).withColumn("theta", F.round("theta", 4)),
+    "theta0_short": lambda s, d: topk.threshold(_best_items(s, d, 50), 50).withColumn("theta", F.round("theta", 4)),
+    **{
+        f"join_pairs_{name}": (lambda join: lambda s, d: _level(s, d, "u1", 0.7, 2, join).select(itemset_key(F.col("items")).alias("items"), "tid", (F.round("u", 2) + F.lit(0.0)).alias("u"), F.round("p", 6).alias("p"), (F.round("ru", 2) + F.lit(0.0)).alias("ru")))(join)
+        for name, join in (("merge", Join.TWO_POINTER), ("hash", Join.EXPONENTIAL), ("broadcast", Join.BINARY))
+    },
+    "pair_metrics": lambda s, d: _shown(_pairs(s, d)),
+    "triple_metrics": lambda s, d: _shown(ext.measured(_level(s, d, "u1", 0.7, 3))),
+    "pair_prune_ep": lambda s, d: _shown(ext.prune_ep(_pairs(s, d, "u2", 0.0), 1e-3)),
+    "pair_prune_pub": lambda s, d: _shown(ext.prune_pub(_pairs(s, d), 1e5)),
+    "pair_prune_ptwu": lambda s, d: _shown(ext.prune_ptwu(_pairs(s, d), _ranks(s, d, "u1", 0.7), 1.5e6, 25)),
+    "semi_survivors": lambda s, d: ext.surviving(_level(s, d, "u1", 0.7, 2), ext.prune_pub(_pairs(s, d), 1e5), 300).groupBy(itemset_key(F.col("items")).alias("items")).agg(F.count("*").alias("n")),
+    **{name: _mined(name) for name in oracle.MINED},
+    "result_table": lambda s, d: _long(text.result_table(mine(_occ(s, d, "u1"), fixtures.profit(s, "u1"), 10, 0.7)), "rank").withColumns({"eu": F.format_string("%.2f", F.col("eu").cast("double")), "ep": F.format_string("%.4f", F.col("ep").cast("double"))}),
+    "topk_sharded_local": _local_best,
+    "shard_counts": lambda s, d: _shards(s, d).groupBy("shard").agg(F.count("*").alias("n"), F.round(F.min("eu"), 4).alias("weakest")),
+    "split_point": lambda s, d: _long(stats.split_point(_ranks(s, d, "u1", 0.7)), "rank"),
+    "pattern_order": lambda s, d: _long(topk.ranked(_patterns(s).withColumn("ep", F.lit(1.0))), "rank").select("rank", itemset_key(F.col("items")).alias("items"), "eu"),
+    "upsert_dedupe": lambda s, d: topk.upsert(_patterns(s).select(F.array(F.length("t")).alias("items"), "eu", (F.col("eu") / 10).alias("ep"))).withColumn("items", itemset_key(F.col("items"))),
+    "itemset_union": lambda s, d: _level(s, d, "u1", 0.7, 2).groupBy(itemset_key(F.col("items")).alias("items")).agg(F.count("*").alias("n")),
+    "tid_intersection": lambda s, d: _level(s, d, "u1", 0.7, 2).groupBy(F.array_min("items").alias("a"), F.array_max("items").alias("b")).agg(F.count("*").alias("n")),
+    "integrity": lambda s, d: stats.integrity(_occ(s, d, "u2")),
+    "bound_ptwu": lambda s, d: _violations(_pairs(s, d), _ranks(s, d, "u1", 0.7).select(F.col("rank").alias("first_rank"), "ptwu"), F.expr("x.eu > y.ptwu + 1e-6")),
+    "bound_pub": lambda s, d: _violations(_pairs(s, d), _singles(s, d, "u1", 0.7), F.expr("x.eu > y.pub + 1e-6")),
+    "ep_antimonotone": lambda s, d: _violations(_pairs(s, d, "u2", 0.0), _singles(s, d, "u2", 0.0), F.expr("x.ep > y.ep + 1e-9")),
+    "bench_stats": lambda s, d: run_statistics(_runs(s)),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.sql()

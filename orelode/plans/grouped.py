@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from ..model import EPSILON, LOG_ZERO, Params, Search
 from ..operators import topk
 from ..operators.entries import first_level, item_lists
@@ -102,6 +103,7 @@ class _Search:
 
 def prefix_search(spark, base: DataFrame, ranks: DataFrame, params: Params, by_levels: Callable) -> list:
     """The best itemsets, prefix by prefix; ``by_levels`` searches prefixes with too many rows."""
+    ship(spark)
     singles = item_lists(base).select(F.array("item").alias("items"), "eu", "ep", "pub")
     best = topk.exact(topk.admitted(singles, params.min_prob), params.k).collect()
     theta = best[-1]["eu"] if len(best) >= params.k else 0.0
