@@ -52,7 +52,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(1 << BITS, np.int64), 0
-        names = ["doc_id", "text_hash", "n", "k1", "k2", "slots", "counts"]
+        names = ["doc_id", "text_hash", "n", "k1", "k2", "sign", "slots", "counts"]
         for batch in slices(batches):
             sets = shingle_sets(batch.column(2), size)
             n = np.array([len(s) for s in sets], np.int64)
@@ -65,14 +65,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(every ^ np.uint64(salt)))])
                 keys.append(mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64)).view(np.int64))
             empty = pa.nulls(len(n), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), empty, empty], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.array([signature(x) for x in sets], pa.binary()), empty, empty], names=names)
         mean = total / (1 << BITS)
         slots = np.flatnonzero(counts > mean + 6 * mean**0.5 + 4)
         none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array([slots.tolist()], pa.list_(pa.int64())), pa.array([counts[slots].tolist()], pa.list_(pa.int64()))], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(1, pa.binary()), pa.array([slots.tolist()], pa.list_(pa.int64())), pa.array([counts[slots].tolist()], pa.list_(pa.int64()))], names=names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, slots array<long>, counts array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, sign binary, slots array<long>, counts array<long>")
 
 
 def _levels(found: DataFrame) -> np.ndarray:
@@ -87,6 +87,29 @@ def _levels(found: DataFrame) -> np.ndarray:
     return levels
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each of about twice as many bits as there are shingles.
+
+    Two signatures differ in at most as many bits as the sets differ in
+    shingles; halving one (by exclusive or) keeps that.
+    """
+    bits = 1 << max(6, (2 * len(s)).bit_length())
+    at = (s & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_reach(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether sets of ``n`` and ``m`` shingles with these signatures can reach the threshold."""
+    a, b, wide, narrow = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x), 8 * len(y)
+    while wide != narrow:
+        if wide < narrow:
+            a, b, wide, narrow = b, a, narrow, wide
+        wide //= 2
+        a = (a >> wide) ^ (a & (1 << wide) - 1)
+    common = (n + m - (a ^ b).bit_count()) // 2  # at most
+    return 100 * common >= percent * (n + m - common)
+
+
 def prefix_length(n: int, percent: int, more: int = 0) -> int:
     """Shingles of an ``n``-set's prefix that asks for ``1 + more`` shared ones."""
     return min(n, n - -(-percent * n // 100) + 1 + more)
@@ -120,13 +143,26 @@ def _index(docs: DataFrame, levels: np.ndarray, percent: int, size: int) -> Data
     return docs.mapInArrow(run, "token long, level int, doc long, n int, at int, l int")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int = WORDS) -> DataFrame:
+def possible(signs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their signatures let reach the threshold: no linked pair is lost."""
+    x, y = (signs.select(F.col("doc_id").alias(k), F.col("sign").alias(f"sign_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in range(2, 6)]
+            yield batch.select([0, 1]).filter(pa.array([may_reach(*c, percent) for c in zip(*cols, strict=True)], pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sign_a", "sign_b", "n_a", "n_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int, size: int = WORDS) -> DataFrame:
     """The pairs (a, b) whose whole texts reach the threshold, by exact set sizes.
 
-    The texts of ``a`` travel to their ``b``; a ``b`` with many pairs is a
-    skewed key of a plain join, which Spark splits.
+    Signatures sort out most of the others first. The texts of ``a`` travel to
+    their ``b``; a ``b`` with many pairs is a skewed key of a plain join, which
+    Spark splits.
     """
-    pairs = cut(pairs.select("a", "b"))
+    pairs = cut(possible(signs, pairs.select("a", "b"), percent))
     n = pairs.count()
     left = docs.join(_small(pairs, n), docs["doc_id"] == pairs["a"]).select("a", "b", F.col("text").alias("text_a"))
     ends = pairs.select("b").distinct()
@@ -169,6 +205,7 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
     levels = _levels(found)
     rows = found.where("n is not null").select("doc_id", "text_hash", "n", "k1", "k2")
     known = rows.where("doc_id is not null and n > 0")
+    signs = found.where("doc_id is not null and n > 0").select("doc_id", "sign", "n")
     classes = known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     members = known.join(classes, ["k1", "k2"])
     copies = cut(members.where("doc_id != rep.doc_id or text_hash != rep.text_hash").select("doc_id", "text_hash", F.col("rep.doc_id").alias("class_id")).distinct())
@@ -191,13 +228,13 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
         best = counted.where(F.col("c") * 1750 >= (percent * 2 - 100) * F.col("n")).groupBy("a").agg(F.max(F.struct("c", F.col("b"))).alias("x"))
         return best.select("a", F.col("x.b").alias("b"))
 
-    first = verified(texts, likely(live.where("doc != centre").select(F.col("doc").alias("a"), F.col("centre").alias("b"), "n")), percent, size)
+    first = verified(texts, signs, likely(live.where("doc != centre").select(F.col("doc").alias("a"), F.col("centre").alias("b"), "n")), percent, size)
     links, labels = first, cut(components(first))
 
     # Once more among the components of each list, each by its smallest document there.
     heads = _labelled(live, labels).groupBy("token", "component").agg(F.min(F.struct("doc", "n")).alias("h")).select("token", "h.doc", "h.n")
     centres = Window.partitionBy("token")
-    second = verified(texts, likely(heads.withColumn("b", F.min("doc").over(centres)).where("doc != b").select(F.col("doc").alias("a"), "b", "n")), percent, size)
+    second = verified(texts, signs, likely(heads.withColumn("b", F.min("doc").over(centres)).where("doc != b").select(F.col("doc").alias("a"), "b", "n")), percent, size)
     if not second.isEmpty():
         links = links.unionByName(second)
         labels = cut(components(links))
@@ -212,7 +249,7 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
     at_a, at_b = F.when(F.col("x.doc") < F.col("y.doc"), F.col("x.at")).otherwise(F.col("y.at")), F.when(F.col("x.doc") < F.col("y.doc"), F.col("y.at")).otherwise(F.col("x.at"))
     met = met.agg(F.count("*").alias("c"), F.max(at_a).alias("ia"), F.max(at_b).alias("ib"), F.max(F.least("x.l", "y.l")).alias("l"))
     reach = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    third = verified(texts, met.where((F.col("c") >= F.col("l")) & ((100 + percent) * reach >= percent * (F.col("na") + F.col("nb")))).select("a", "b"), percent, size)
+    third = verified(texts, signs, met.where((F.col("c") >= F.col("l")) & ((100 + percent) * reach >= percent * (F.col("na") + F.col("nb")))).select("a", "b"), percent, size)
     same_id = members.select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b")).where("a != b")
     if not third.isEmpty():
         links = links.unionByName(third)
