@@ -39,7 +39,7 @@ BITS = 23
 #: Minimizers with more than 1 / HOT of all gathered segments are dealt to PARTS parts first.
 HOT, PARTS = 2000, 64
 #: Bytes of one suffix sort, and distinct segments of a minimizer that one sort takes.
-SORT, MOST = 4 << 20, 20_000
+SORT, MOST = 1 << 20, 20_000
 #: Span ends that are broadcast at most.
 BROADCAST = 4_000_000
 #: Rows of one id with different texts follow each other at this distance.
@@ -136,7 +136,7 @@ def _minimizers(docs: DataFrame, width: int, wanted: np.ndarray | None) -> DataF
                 h, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
                 continue
-            slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
+            slot = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)  # low bits: a minimizer's high ones are small by choice
             keep = np.flatnonzero(shared.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
             doc, base = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for low in range(0, len(keep), 100_000):
@@ -148,7 +148,7 @@ def _minimizers(docs: DataFrame, width: int, wanted: np.ndarray | None) -> DataF
 
 def _filter(repeated: DataFrame) -> np.ndarray:
     """A bitmap of the repeated minimizers, 2 ** BITS bits, built on the executors in blocks."""
-    slots = repeated.select(F.shiftrightunsigned("h", 64 - BITS).cast("long").alias("slot"))
+    slots = repeated.select(F.col("h").bitwiseAND((1 << BITS) - 1).alias("slot"))
     parts = slots.select(F.shiftright("slot", 12).alias("block"), F.expr("slot & 4095").alias("rest")).groupBy("block").agg(F.collect_set("rest").alias("rests"))  # 4096 numbers a block at most
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
