@@ -51,6 +51,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
+    if s.max() >= 1 << 31:  # products of two symbols must fit 64 bits
+        s = np.unique(s, return_inverse=True)[1] + 1
     t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
     top = int(t.max()) + 1
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # with n % 3 == 1 an empty suffix parts the halves
