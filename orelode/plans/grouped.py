@@ -101,13 +101,12 @@ class _Search:
                 heapq.heappush(queue, (-pub, count, grown, joined))
 
 
-def prefix_search(spark, base: DataFrame, ranks: DataFrame, params: Params, by_levels: Callable) -> list:
+def prefix_search(spark, base: DataFrame, ranks: DataFrame, n: int, params: Params, by_levels: Callable) -> list:
     """The best itemsets, prefix by prefix; ``by_levels`` searches prefixes with too many rows."""
     ship(spark)
     singles = item_lists(base).select(F.array("item").alias("items"), "eu", "ep", "pub")
     best = topk.exact(topk.admitted(singles, params.min_prob), params.k).collect()
     theta = best[-1]["eu"] if len(best) >= params.k else 0.0
-    n = ranks.count()
     heads = small(ranks.where(F.col("ptwu") >= theta - EPSILON).select(F.col("rank").alias("prefix"), "ptwu"), n)
     left = base.select(F.col("tid").alias("l_tid"), F.col("rank").alias("prefix")).join(heads, "prefix")
     rows = left.join(base, (F.col("l_tid") == F.col("tid")) & (F.col("rank") >= F.col("prefix"))).select("prefix", "ptwu", "tid", "item", "rank", "u", "p", "ru")
@@ -125,5 +124,5 @@ def prefix_search(spark, base: DataFrame, ranks: DataFrame, params: Params, by_l
     best = topk.collect(held, found, params.k, params.collector).collect()
     if wide:
         start = first_level(base).where(F.col("first_rank").isin(wide))
-        best, _ = by_levels(spark, base, ranks, params, start=start, held=best)
+        best, _ = by_levels(spark, base, ranks, n, params, start=start, held=best)
     return sorted(best, key=lambda r: (r["eu"], len(r["items"]), list(r["items"])), reverse=True)

@@ -23,7 +23,7 @@ def _held(spark, rows: list) -> DataFrame:
     return spark.createDataFrame([(list(r["items"]), r["eu"], r["ep"]) for r in rows], PATTERNS)
 
 
-def level_wise(spark, base: DataFrame, ranks: DataFrame, params: Params, start: DataFrame | None = None, held: list | None = None, depth: int | None = None) -> tuple[list, bool]:
+def level_wise(spark, base: DataFrame, ranks: DataFrame, n_items: int, params: Params, start: DataFrame | None = None, held: list | None = None, depth: int | None = None) -> tuple[list, bool]:
     """The best itemsets by levels.
 
     Rows are cut to the checkpoint folder after each level, still partitioned by
@@ -32,7 +32,7 @@ def level_wise(spark, base: DataFrame, ranks: DataFrame, params: Params, start:
     most), and their weakest utility prunes the next. Also returns whether the
     search came to its end before ``depth``.
     """
-    rows, best, number, n_items = cut(start if start is not None else first_level(base)), held or [], 1, ranks.count()
+    rows, best, number = start if start is not None else first_level(base), held or [], 1
     while True:
         found = cut(measured(rows))
         batch = topk.admitted(found, params.min_prob, best[-1]["eu"] if len(best) >= params.k else 0.0)
@@ -49,11 +49,12 @@ def level_wise(spark, base: DataFrame, ranks: DataFrame, params: Params, start:
         rows, number = cut(extend(surviving(rows, alive, n), base, params.join)), number + 1
 
 
-def prepared(occ: DataFrame, profit: DataFrame, min_prob: float) -> tuple[DataFrame, DataFrame]:
-    """Entries, by transaction, and the ranking; both computed once."""
+def prepared(occ: DataFrame, profit: DataFrame, min_prob: float) -> tuple[DataFrame, DataFrame, int]:
+    """Entries, by transaction, the ranking, both computed once, and the number of ranked items."""
     priced = with_profit(occ, profit)
     ranks = cut(ranking(valid_items(item_stats(priced), min_prob)))
-    return cut(entries(priced, ranks)), ranks
+    n = ranks.count()
+    return cut(entries(priced, ranks, n)), ranks, n
 
 
 def mine(occ: DataFrame, profit: DataFrame, k: int, min_prob: float, search: Search | str = Search.BREADTH_FIRST, join: str = "two_pointer", collector: str = "baseline") -> DataFrame:
@@ -70,15 +71,15 @@ def mine(occ: DataFrame, profit: DataFrame, k: int, min_prob: float, search: Sea
     spark = occ.sparkSession
     clean = occ.where("qty > 0 and item >= 0 and prob between 0 and 1 and not isnan(prob) and tid is not null").select("tid", "item", "qty", "prob")
     prices = profit.where("profit is not null and not isnan(profit)").select("item", "profit")
-    base, ranks = prepared(clean, prices, min_prob)
+    base, ranks, n = prepared(clean, prices, min_prob)
     if params.search is Search.BREADTH_FIRST:
-        best, _ = level_wise(spark, base, ranks, params)
+        best, _ = level_wise(spark, base, ranks, n, params)
     elif params.search is Search.ITERATIVE_DEEPENING:
         best, ended, depth = [], False, 0
         while not ended:  # each round starts anew, one level deeper, with the threshold of the last
             depth += 1
-            best, ended = level_wise(spark, base, ranks, params, held=best, depth=depth)
+            best, ended = level_wise(spark, base, ranks, n, params, held=best, depth=depth)
     else:
-        best = prefix_search(spark, base, ranks, params, level_wise)
+        best = prefix_search(spark, base, ranks, n, params, level_wise)
     return topk.ranked(_held(spark, best))
 
