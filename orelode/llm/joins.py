@@ -14,10 +14,10 @@ From shared prefix shingles to links, without all pairs of a group:
 2. In each shingle's list every document meets only the list's centre. Centres
    that look alike are verified; their links make the first components.
 3. The same once more among the components of each list.
-4. Lists that still hold several components give the pairs across components,
-   those of the largest one against the others only. Pairs pass if their
-   shared prefix shingles and the rest after the last one can reach the
-   threshold; then their whole texts are compared.
+4. Lists that still hold several components are searched for pairs across
+   components, those of the largest one against the others only: by signatures,
+   a block at a time, so only pairs that can reach the threshold become rows.
+   Then their whole texts are compared.
 
 Steps 2 and 3 only save work: two documents of one component need no link of
 their own to be in it, and step 4 looks at all other pairs, so no link between
@@ -26,6 +26,7 @@ components is lost.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,7 +94,7 @@ def signature(s: np.ndarray) -> bytes:
     Two signatures differ in at most as many bits as the sets differ in
     shingles; halving one (by exclusive or) keeps that.
     """
-    bits = 1 << max(6, (2 * len(s)).bit_length())
+    bits = 1 << max(9, (2 * len(s)).bit_length())
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -184,6 +185,102 @@ def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int,
     return cut(left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
 
 
+def _fold(sign: bytes) -> np.ndarray:
+    """A signature as eight numbers of 64 bits, halved as often as it takes."""
+    words = np.frombuffer(sign, np.uint64)
+    while len(words) > 8:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def _list_pairs(rows: list[tuple], percent: int, between: bool) -> set[tuple[int, int, int]]:
+    """Pairs of a list (doc, component, main, sign, n, block, l) that may be links between components, with the smaller l.
+
+    The members of the list's main component meet the others only. Signatures
+    are compared a block of rows at a time; pairs that pass at 512 bits are
+    compared in full.
+    """
+    out: set[tuple[int, int, int]] = set()
+
+    def keep(x: tuple, y: tuple) -> None:
+        if x[0] != y[0] and may_reach(x[3], y[3], x[4], y[4], percent):
+            out.add((max(x[0], y[0]), min(x[0], y[0]), min(x[6], y[6])))
+
+    others = [r for r in rows if r[1] != r[2]]
+    if len(rows) <= 6:
+        for x in others:
+            for y in rows:
+                if x[1] != y[1] and (y[1] == y[2] or x[0] < y[0] or between) and (not between or x[5] != y[5]):
+                    keep(x, y)
+        return out
+    flat = np.array([_fold(r[3]) for r in rows])
+    doc, component, n, block = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 4, 5))
+    minor = component != rows[0][2]
+    at = np.flatnonzero(minor)
+    for low in range(0, len(at), 128):
+        k = at[low : low + 128]
+        ok = (component[k, None] != component) & (~minor | (doc[k, None] < doc))
+        if between:
+            ok = (component[k, None] != component) & (block[k, None] != block)
+        ok &= 100 * np.minimum(n[k, None], n) >= percent * np.maximum(n[k, None], n)
+        i, j = np.nonzero(ok)
+        for part in range(0, len(i), 200_000):
+            x, y = k[i[part : part + 200_000]], j[part : part + 200_000]
+            differ = np.bitwise_count(flat[x] ^ flat[y]).sum(axis=1, dtype=np.int64)
+            total = n[x] + n[y]
+            common = (total - differ) // 2
+            good = 100 * common >= percent * (total - common)
+            for c, d in zip(x[good].tolist(), y[good].tolist(), strict=True):
+                keep(rows[c], rows[d])
+    return out
+
+
+#: Rows of a list that one task holds at once; a longer list is dealt to pairs of blocks.
+LIST = 20_000
+
+
+def _across(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components whose signatures let them reach the threshold and that share enough prefix tokens."""
+    blocks = F.ceil(F.col("m") / LIST).cast("int")
+    dealt = mixed.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "component", "main", "sign", "n", "block", "l")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(found: Counter) -> pa.RecordBatch:
+            cols = list(zip(*((*k, c) for k, c in found.items()), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "l", "c"])
+
+        key, held, found = None, [], Counter()
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        found.update(_list_pairs(held, percent, key[1] != key[2]))
+                    key, held = row[:3], []
+                    if len(found) > 50_000:
+                        yield flush(found)
+                        found = Counter()
+                held.append(row[3:])
+        if len(held) > 1:
+            found.update(_list_pairs(held, percent, key[1] != key[2]))
+        if found:
+            yield flush(found)
+
+    return dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(run, "a long, b long, l long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("l").alias("l")).where("c >= l").select("a", "b")
+
+
+def _hooked(parents: DataFrame, rounds: int = 2) -> DataFrame:
+    """``node, component`` of a table that hooks each node to a smaller one: its ancestor, 2 ** rounds steps up at most.
+
+    Nodes of one component are connected, but not all that are connected need
+    share one: what the lists' centres need, without finding all components.
+    """
+    for _ in range(rounds):
+        up = parents.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        parents = parents.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return cut(parents)
+
+
 def _labelled(live: DataFrame, labels: DataFrame) -> DataFrame:
     return live.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
@@ -229,7 +326,7 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
         return best.select("a", F.col("x.b").alias("b"))
 
     first = verified(texts, signs, likely(live.where("doc != centre").select(F.col("doc").alias("a"), F.col("centre").alias("b"), "n")), percent, size)
-    links, labels = first, cut(components(first))
+    links, labels = first, _hooked(first.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))
 
     # Once more among the components of each list, each by its smallest document there.
     heads = _labelled(live, labels).groupBy("token", "component").agg(F.min(F.struct("doc", "n")).alias("h")).select("token", "h.doc", "h.n")
@@ -237,25 +334,21 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
     second = verified(texts, signs, likely(heads.withColumn("b", F.min("doc").over(centres)).where("doc != b").select(F.col("doc").alias("a"), "b", "n")), percent, size)
     if not second.isEmpty():
         links = links.unionByName(second)
-        labels = cut(components(links))
+        of = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+        ends = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).where("x != y")
+        hooks = _hooked(ends.groupBy(F.greatest("x", "y").alias("node")).agg(F.min(F.least("x", "y")).alias("component")))
+        above = hooks.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        labels = cut(labels.join(above, "component", "left").select("node", F.coalesce("up", "component").alias("component")).unionByName(hooks.join(labels.select("node"), "node", "left_anti")))
 
-    # All pairs across components.
+    # All pairs across components, list by list.
     marked = _labelled(live, labels)
-    share = marked.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("m")).where("k > 1").select("token", F.col("m.component").alias("main"))
-    mixed = written(marked.join(share, "token").select("token", "doc", "n", "at", "l", "component", (F.col("component") == F.col("main")).alias("main")))
-    x, y = mixed.where("not main").alias("x"), mixed.alias("y")
-    fits = (F.col("x.component") != F.col("y.component")) & (F.col("y.main") | (F.col("x.doc") < F.col("y.doc"))) & (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).groupBy(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), F.when(F.col("x.doc") < F.col("y.doc"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(F.col("x.doc") < F.col("y.doc"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
-    at_a, at_b = F.when(F.col("x.doc") < F.col("y.doc"), F.col("x.at")).otherwise(F.col("y.at")), F.when(F.col("x.doc") < F.col("y.doc"), F.col("y.at")).otherwise(F.col("x.at"))
-    met = met.agg(F.count("*").alias("c"), F.max(at_a).alias("ia"), F.max(at_b).alias("ib"), F.max(F.least("x.l", "y.l")).alias("l"))
-    reach = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    third = verified(texts, signs, met.where((F.col("c") >= F.col("l")) & ((100 + percent) * reach >= percent * (F.col("na") + F.col("nb")))).select("a", "b"), percent, size)
+    share = marked.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", F.col("top.component").alias("main"), "m")
+    mixed = marked.join(share, "token").select("token", "doc", "l", "component", "main", "m").join(signs.select(F.col("doc_id").alias("doc"), "sign", "n"), "doc")
+    third = verified(texts, signs, _across(mixed, percent), percent, size)
     same_id = members.select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b")).where("a != b")
     if not third.isEmpty():
         links = links.unionByName(third)
-        labels = components(links.unionByName(same_id))
-    else:
-        labels = components(links.unionByName(same_id))
+    labels = components(links.unionByName(same_id))
     tagged = rows.join(classes, ["k1", "k2"], "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     lone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return tagged.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("rep.doc_id")).alias("class_id"))
