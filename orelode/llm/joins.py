@@ -42,6 +42,8 @@ from .shingles import WORDS, mix, shingle_sets
 BITS = 20
 #: Rows that are broadcast at most (two numbers each); larger sides are shuffled.
 BROADCAST = 500_000
+#: Bits of the signatures that travel with lists; pairs that pass are compared by their full ones.
+BRIEF = 1024
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -53,7 +55,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(1 << BITS, np.int64), 0
-        names = ["doc_id", "text_hash", "n", "k1", "k2", "sign", "slots", "counts"]
+        names = ["doc_id", "text_hash", "n", "k1", "k2", "sign", "brief", "slots", "counts"]
         for batch in slices(batches):
             sets = shingle_sets(batch.column(2), size)
             n = np.array([len(s) for s in sets], np.int64)
@@ -65,15 +67,17 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             for salt in (0x1234567, 0x89ABCDEF01):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(every ^ np.uint64(salt)))])
                 keys.append(mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64)).view(np.int64))
+            signs = [signature(x) for x in sets]
+            briefs = [_fold(x, BRIEF // 64).tobytes() for x in signs]
             empty = pa.nulls(len(n), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.array([signature(x) for x in sets], pa.binary()), empty, empty], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.array(signs, pa.binary()), pa.array(briefs, pa.binary()), empty, empty], names=names)
         mean = total / (1 << BITS)
         slots = np.flatnonzero(counts > mean + 6 * mean**0.5 + 4)
         none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(1, pa.binary()), pa.array([slots.tolist()], pa.list_(pa.int64())), pa.array([counts[slots].tolist()], pa.list_(pa.int64()))], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([slots.tolist()], pa.list_(pa.int64())), pa.array([counts[slots].tolist()], pa.list_(pa.int64()))], names=names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, sign binary, slots array<long>, counts array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, sign binary, brief binary, slots array<long>, counts array<long>")
 
 
 def _levels(found: DataFrame) -> np.ndarray:
@@ -185,10 +189,10 @@ def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int,
     return cut(left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
 
 
-def _fold(sign: bytes) -> np.ndarray:
-    """A signature as eight numbers of 64 bits, halved as often as it takes."""
+def _fold(sign: bytes, most: int = 8) -> np.ndarray:
+    """A signature as ``most`` numbers of 64 bits at most, halved as often as it takes."""
     words = np.frombuffer(sign, np.uint64)
-    while len(words) > 8:
+    while len(words) > most:
         words = words[: len(words) // 2] ^ words[len(words) // 2 :]
     return words
 
@@ -197,8 +201,8 @@ def _list_pairs(rows: list[tuple], percent: int, between: bool) -> set[tuple[int
     """Pairs of a list (doc, component, main, sign, n, block, l) that may be links between components, with the smaller l.
 
     The members of the list's main component meet the others only. Signatures
-    are compared a block of rows at a time; pairs that pass at 512 bits are
-    compared in full.
+    are compared a block of rows at a time at 512 bits; pairs that pass, at all
+    bits the lists have.
     """
     out: set[tuple[int, int, int]] = set()
 
@@ -302,7 +306,7 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
     levels = _levels(found)
     rows = found.where("n is not null").select("doc_id", "text_hash", "n", "k1", "k2")
     known = rows.where("doc_id is not null and n > 0")
-    signs = found.where("doc_id is not null and n > 0").select("doc_id", "sign", "n")
+    signs = found.where("doc_id is not null and n > 0").select("doc_id", "sign", "brief", "n")
     classes = known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     members = known.join(classes, ["k1", "k2"])
     copies = cut(members.where("doc_id != rep.doc_id or text_hash != rep.text_hash").select("doc_id", "text_hash", F.col("rep.doc_id").alias("class_id")).distinct())
@@ -343,7 +347,7 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
     # All pairs across components, list by list.
     marked = _labelled(live, labels)
     share = marked.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", F.col("top.component").alias("main"), "m")
-    mixed = marked.join(share, "token").select("token", "doc", "l", "component", "main", "m").join(signs.select(F.col("doc_id").alias("doc"), "sign", "n"), "doc")
+    mixed = marked.join(share, "token").select("token", "doc", "l", "component", "main", "m").join(signs.select(F.col("doc_id").alias("doc"), F.col("brief").alias("sign"), "n"), "doc")
     third = verified(texts, signs, _across(mixed, percent), percent, size)
     same_id = members.select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b")).where("a != b")
     if not third.isEmpty():
