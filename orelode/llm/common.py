@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -61,6 +62,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files and checkpoints that no plan refers to any more.
+
+    Its cleaner acts when the driver collects garbage, which a driver with
+    little to do may put off until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and read back from the shared folder."""
     checkpoint_dir(df.sparkSession)
@@ -76,6 +87,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"orelode-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, slices, written
+from .common import cut, id_text, release, slices, written
 from .graph import components
 from .shingles import WORDS, mix, shingle_sets
 
@@ -168,6 +168,7 @@ def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int,
     Spark splits.
     """
     pairs = cut(possible(signs, pairs.select("a", "b"), percent))
+    release(docs.sparkSession)
     n = pairs.count()
     left = docs.join(_small(pairs, n), docs["doc_id"] == pairs["a"]).select("a", "b", F.col("text").alias("text_a"))
     ends = pairs.select("b").distinct()
@@ -186,7 +187,9 @@ def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int,
                 ok[i] = 100 * common >= percent * (len(s) + len(last[1]) - common) and common > 0
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return cut(left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
+    links = cut(left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
+    release(docs.sparkSession)
+    return links
 
 
 def _fold(sign: bytes, most: int = 8) -> np.ndarray:
