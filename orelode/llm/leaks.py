@@ -5,8 +5,9 @@ starts at a word is walked with a random bit for each step and word: the step
 writes down the word and moves on if its bit is 1 (CGK), so that few edits of
 the window leave few differing steps. A repetition has bits of its own and a
 few sampled steps; windows and benchmark items that agree in all of them are
-candidates. Repetitions are added until edited copies of the items reach the
-target recall. Candidates are decided by the exact edit distance in words: up
+candidates. Items are searched by classes of like length, each with windows of
+its own and steps sampled over whole items. Repetitions are added until edited
+copies of a class's items reach the target recall. Candidates are decided by the exact edit distance in words: up
 to ``1 - similarity`` of the item's words.
 
 Windows are walked only where enough word pairs of any item lie close together;
@@ -33,7 +34,9 @@ from .shingles import mix, runs, words
 SHORT = 5
 #: Items of one pass; a larger benchmark takes several passes over the documents.
 BLOCK = 50_000
-STEPS_A_WORD, SAMPLED, MOST_REPETITIONS = 3, 2, 64
+STEPS_A_WORD, SAMPLED, MOST_REPETITIONS = 2, 2, 64
+#: Longest item of a length class by its shortest; simulated copies of a class at least.
+SPREAD, COPIES = 1.25, 300
 _OTHER = np.ones(256, bool)
 _OTHER[48:58] = _OTHER[65:91] = _OTHER[97:123] = False
 _OTHER[128:] = False
@@ -96,6 +99,16 @@ def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int, i
     return end - min(sizes), end, d
 
 
+@dataclass
+class Lengths:
+    """Items of like length."""
+
+    members: list[int]
+    pairs: np.ndarray  # filter of the items' word pairs
+    dense: list[tuple[int, int]]  # by length of item: words of its longest occurrence, word pairs that any has
+    repetitions: list[tuple] = field(default_factory=list)  # seed, sampled steps, keys after each, full key -> items
+
+
 @dataclass
 class Tables:
     """What the executors need of a block of items."""
@@ -103,11 +116,10 @@ class Tables:
     ids: list[int]
     items: list[list[int]]
     most: list[int]
-    pairs: np.ndarray  # filter of the items' word pairs
-    dense: list[tuple[int, int]]  # by length of item: words of its longest occurrence, word pairs that any has
+    pairs: np.ndarray  # filter of the word pairs of all classes
     short: dict[int, dict[int, list[int]]]  # by length, run hash -> items
     own: dict[int, set[int]] = field(default_factory=dict)  # item -> its word pairs
-    repetitions: list[tuple] = field(default_factory=list)  # seed, sampled steps, keys after each, full key -> items
+    classes: list[Lengths] = field(default_factory=list)
 
 
 def _walk(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int, sampled: list[int]) -> Iterator[tuple[np.ndarray, int]]:
@@ -122,10 +134,10 @@ def _walk(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int,
         here += (mix(symbol ^ np.uint64(seed + step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(1)).astype(np.int64) & inside
 
 
-def candidates(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, tables: Tables) -> set[tuple[int, int]]:
+def candidates(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, repetitions: list[tuple]) -> set[tuple[int, int]]:
     """(start, item) pairs that agree with an item in all sampled steps of a repetition."""
     found: set[tuple[int, int]] = set()
-    for seed, sampled, heads, known in tables.repetitions:
+    for seed, sampled, heads, known in repetitions:
         left, key = np.arange(len(starts)), np.zeros(len(starts), np.uint64)
         walk = _walk(hashes, starts, stops, seed, sampled)
         got = next(walk, None)
@@ -166,12 +178,67 @@ def _repetition(items: list[np.ndarray], seed: int, sampled: list[int]):
     return seed, sampled, heads, known
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    """Place of each word pair in a filter."""
+    return (runs(hashes, 2) >> np.uint64(64 - _FILTER)).astype(np.int64)
+
+
+def _edited(item: list[int], most: int, kind: int, r: random.Random) -> list[int]:
+    """A copy with ``most`` edits: 0 all over it, 1 its first words replaced, 2 words in a row replaced."""
+    out = list(item)
+    if kind:
+        at = 0 if kind == 1 else r.randrange(len(out) - most + 1)
+        out[at : at + most] = [r.getrandbits(64) for _ in range(most)]
+        return out
+    for _ in range(most):
+        kind, at = r.randrange(3), r.randrange(len(out))
+        out[at : at + (kind != 0)] = [r.getrandbits(64)] if kind < 2 else []
+    return out
+
+
+def _starts(near: np.ndarray, dense: list[tuple[int, int]], n: int) -> np.ndarray:
+    """Starts of the windows that may hold enough of the word pairs at ``near``, in ``n`` words."""
+    edge = np.zeros(n + 1, np.int64)
+    for reach, least in dense:
+        k = least - 1
+        close = np.flatnonzero(near[k:] - near[: len(near) - k] < reach) if len(near) > k else near[:0]
+        np.add.at(edge, np.maximum(near[close + k] - reach, 0), 1)  # a window of any of these starts holds the pairs
+        np.add.at(edge, near[close] + 1, -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]))
+
+
+def _lengths(members: list[int], texts: list[np.ndarray], most: list[int], recall: float, r: random.Random) -> Lengths:
+    """A length class with its repetitions."""
+    pairs = np.zeros(1 << _FILTER, bool)
+    for i in members:
+        pairs[_slots(texts[i])] = True
+    out = Lengths(members, pairs, sorted({(len(texts[i]) + most[i], max(1, len(texts[i]) - 1 - 2 * most[i])) for i in members}))
+    rounds = -(-COPIES // (3 * len(members)))
+    copies = [(i, np.array(_edited(texts[i].tolist(), most[i], kind, r), np.uint64)) for i in members for kind in range(3) for _ in range(rounds)]
+    shortest = min(len(texts[i]) for i in members)
+    missed = list(range(len(copies)))
+    while len(out.repetitions) < MOST_REPETITIONS and len(missed) > (1 - recall) * len(copies):
+        sampled = sorted(r.sample(range(STEPS_A_WORD * shortest), SAMPLED))
+        one = _repetition([texts[i] for i in members], r.getrandbits(63), sampled)
+        out.repetitions.append((*one[:3], {k: [members[j] for j in v] for k, v in one[3].items()}))
+        sizes = np.array([len(copies[c][1]) for c in missed])
+        stops = np.cumsum(sizes)
+        flat = np.concatenate([copies[c][1] for c in missed])
+        near = np.flatnonzero(pairs[_slots(flat)])
+        starts = _starts(near, out.dense, len(flat))
+        place = np.searchsorted(stops, starts, side="right")
+        hit = {(int(np.searchsorted(stops, s, side="right")), i) for s, i in candidates(flat, starts, stops[place], out.repetitions[-1:])}
+        missed = [c for at, c in enumerate(missed) if (at, copies[c][0]) not in hit]
+    return out
+
+
 def prepare(rows: list[tuple[int, str]], similarity: float = 0.75, recall: float = 0.97, seed: int = 11) -> Tables:
     """Tables of a block of (id, text) items.
 
-    Repetitions are added until ``recall`` of simulated copies, each with as
-    many random word edits as are allowed, share a key with their item at its
-    own start, or MOST_REPETITIONS are reached.
+    Repetitions are added to each length class until ``recall`` of simulated
+    copies of its items, each with as many word edits as are allowed, all over
+    it, at its head or in a row, share a key with their item at a start that
+    the search looks at, or MOST_REPETITIONS are reached.
     """
     column = pa.array([t or "" for _, t in rows], pa.string())
     _, _, _, hashes, first = word_hashes(column)
@@ -180,34 +247,16 @@ def prepare(rows: list[tuple[int, str]], similarity: float = 0.75, recall: float
     for i, w in enumerate(texts):
         if 0 < len(w) < SHORT:
             short.setdefault(len(w), {}).setdefault(int(runs(w, len(w))[0]), []).append(i)
-    long = [i for i, w in enumerate(texts) if len(w) >= SHORT]
+    long = sorted((i for i, w in enumerate(texts) if len(w) >= SHORT), key=lambda i: len(texts[i]))
     most = [allowed(len(w), similarity) for w in texts]
-    pairs = np.zeros(1 << _FILTER, bool)
-    for i in long:
-        pairs[(runs(texts[i], 2) >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
-    out = Tables([r[0] for r in rows], [w.tolist() for w in texts], most, pairs, sorted({(len(texts[i]) + most[i], max(1, len(texts[i]) - 1 - 2 * most[i])) for i in long}), short)
-    if not long:
-        return out
+    out = Tables([r[0] for r in rows], [w.tolist() for w in texts], most, np.zeros(1 << _FILTER, bool), short)
     out.own = {i: set(runs(texts[i], 2).tolist()) for i in long}
     r = random.Random(seed)
-    shortest = min(len(texts[i]) for i in long)
-    copies = []
-    for i in r.sample(long, min(len(long), 200)):
-        words_of = texts[i].tolist()
-        for _ in range(most[i]):
-            kind, at = r.randrange(3), r.randrange(len(words_of))
-            words_of[at : at + (kind != 0)] = [r.getrandbits(64)] if kind < 2 else []
-        copies.append((long.index(i), np.array(words_of, np.uint64)))
-    missed = list(range(len(copies)))
-    while len(out.repetitions) < MOST_REPETITIONS and len(missed) > (1 - recall) * len(copies):
-        sampled = sorted(r.sample(range(STEPS_A_WORD * shortest), SAMPLED))
-        one = _repetition([texts[i] for i in long], r.getrandbits(63), sampled)
-        out.repetitions.append((one[0], one[1], one[2], {k: [long[j] for j in v] for k, v in one[3].items()}))
-        flat = np.concatenate([copies[c][1] for c in missed])
-        stops = np.cumsum([len(copies[c][1]) for c in missed])
-        starts = stops - np.array([len(copies[c][1]) for c in missed])
-        hit = candidates(flat, starts, stops, Tables([], [], [], pairs, [], {}, {}, out.repetitions[-1:]))
-        missed = [c for c, s in zip(missed, starts.tolist(), strict=True) if (s, long[copies[c][0]]) not in hit]
+    while long:
+        members = [i for i in long if len(texts[i]) <= SPREAD * len(texts[long[0]])]
+        long = long[len(members) :]
+        out.classes.append(_lengths(members, texts, most, recall, r))
+        out.pairs |= out.classes[-1].pairs
     return out
 
 
@@ -220,24 +269,28 @@ def _leaks(hashes: np.ndarray, first: np.ndarray, tables: Tables) -> list[tuple[
             row = int(np.searchsorted(first, at, side="right")) - 1
             if at + n <= first[row + 1]:
                 out += [(row, i, at - int(first[row]), at - int(first[row]) + n, 0) for i in known[int(h[at])]]
-    if not tables.repetitions or len(hashes) < 2:
+    if not tables.classes or len(hashes) < 2:
         return out
-    pairs = runs(hashes, 2)
-    near = np.flatnonzero(tables.pairs[(pairs >> np.uint64(64 - _FILTER)).astype(np.int64)])
-    edge = np.zeros(len(hashes) + 1, np.int64)
-    for reach, least in tables.dense:
-        k = least - 1
-        dense = np.flatnonzero(near[k:] - near[: len(near) - k] < reach) if len(near) > k else near[:0]
-        np.add.at(edge, np.maximum(near[dense + k] - reach, 0), 1)  # a window of any of these starts holds the pairs
-        np.add.at(edge, near[dense] + 1, -1)
-    starts = np.flatnonzero(np.cumsum(edge[:-1]))
+    pairs, slots = runs(hashes, 2), _slots(hashes)
+    near = np.flatnonzero(tables.pairs[slots])
+    row_of = np.searchsorted(first, near, side="right") - 1
+    inside = near + 1 < first[row_of + 1]
+    near = near[inside]
+    for lengths in tables.classes:
+        out += _class_leaks(hashes, first, pairs, near[lengths.pairs[slots[near]]], lengths, tables)
+    return out
+
+
+def _class_leaks(hashes: np.ndarray, first: np.ndarray, pairs: np.ndarray, near: np.ndarray, lengths: Lengths, tables: Tables) -> list[tuple[int, int, int, int, int]]:
+    """Occurrences of a class's items; ``near`` are the places of its word pairs."""
+    starts = _starts(near, lengths.dense, len(hashes))
     if not len(starts):
-        return out
+        return []
     rows = np.searchsorted(first, starts, side="right") - 1
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    stop_of = dict(zip(starts.tolist(), rows.tolist(), strict=True))
-    for start, i in sorted(candidates(hashes, starts, first[rows + 1], tables)):
-        row, item, most = stop_of[start], tables.items[i], tables.most[i]
+    row_at = dict(zip(starts.tolist(), rows.tolist(), strict=True))
+    for start, i in sorted(candidates(hashes, starts, first[rows + 1], lengths.repetitions)):
+        row, item, most = row_at[start], tables.items[i], tables.most[i]
         held = found.setdefault((row, i), [])
         if held and held[-1][0] <= start < held[-1][1]:
             continue
@@ -247,7 +300,7 @@ def _leaks(hashes: np.ndarray, first: np.ndarray, tables: Tables) -> list[tuple[
             continue  # too few of its word pairs for any match
         if (m := best_match(item, hashes[begin:end].tolist(), most)) is not None:
             held.append((begin + m[0], begin + m[1], m[2]))
-    return out + [(row, i, a - int(first[row]), b - int(first[row]), d) for (row, i), held in found.items() for a, b, d in held]
+    return [(row, i, a - int(first[row]), b - int(first[row]), d) for (row, i), held in found.items() for a, b, d in held]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

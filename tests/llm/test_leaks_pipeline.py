@@ -95,3 +95,37 @@ def test_stages_in_a_row(spark):
     assert leaks.find(docs, bench).count() == 0
     out = pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert len(out) == sizes[-1][1] and all(r.n_pieces == len(r.ids) for r in out)
+
+
+def planted(sizes, kinds, seed=3, copies=120):
+    """Items of these lengths, and documents that each hold a copy with all the edits allowed, in longer text."""
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(3000)]
+    some = lambda n: [r.choice(vocab) for _ in range(n)]
+    items, docs, held = [(i, some(n)) for i, n in enumerate(sizes)], [], set()
+    for d in range(copies):
+        i, w = items[r.randrange(len(items))]
+        w, most = list(w), leaks.allowed(len(w), 0.75)
+        kind = kinds[d % len(kinds)]
+        if kind == "all over":
+            for _ in range(most):
+                at = r.randrange(len(w))
+                w[at : at + r.choice((0, 1))] = some(r.choice((0, 1)))
+        else:
+            at = 0 if kind == "head" else r.randrange(len(w) - most + 1)
+            w[at : at + most] = some(most)
+        docs.append((d, " ".join(some(150) + w + some(150))))
+        held.add((d, i))
+    return [(i, " ".join(w)) for i, w in items], docs, held
+
+
+def recall(table, spark, *case):
+    items, docs, held = planted(*case)
+    got = {(r.doc_id, r.item_id) for r in leaks.find(table(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    return len(got & held) / len(held)
+
+
+def test_head_and_block_edits_beside_a_short_item(table, spark):
+    r = random.Random(0)
+    sizes = [r.randint(15, 59) for _ in range(60)] + [8]
+    assert recall(table, spark, sizes, ["head", "block"]) >= 0.97
