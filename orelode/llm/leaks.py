@@ -35,7 +35,7 @@ SHORT = 5
 #: Items of one pass; a larger benchmark takes several passes over the documents.
 BLOCK = 50_000
 STEPS_A_WORD, SAMPLED, MOST_REPETITIONS = 2, 2, 64
-#: Longest item of a length class by its shortest; simulated copies of a class at least.
+#: Longest item of a length class by its shortest; simulated copies of a class and kind at least.
 SPREAD, COPIES = 1.25, 300
 _OTHER = np.ones(256, bool)
 _OTHER[48:58] = _OTHER[65:91] = _OTHER[97:123] = False
@@ -208,36 +208,41 @@ def _starts(near: np.ndarray, dense: list[tuple[int, int]], n: int) -> np.ndarra
 
 
 def _lengths(members: list[int], texts: list[np.ndarray], most: list[int], recall: float, r: random.Random) -> Lengths:
-    """A length class with its repetitions."""
+    """A length class (``members`` by length) with its repetitions; the copies lie in longer text, as occurrences do."""
     pairs = np.zeros(1 << _FILTER, bool)
     for i in members:
         pairs[_slots(texts[i])] = True
     out = Lengths(members, pairs, sorted({(len(texts[i]) + most[i], max(1, len(texts[i]) - 1 - 2 * most[i])) for i in members}))
-    rounds = -(-COPIES // (3 * len(members)))
-    copies = [(i, np.array(_edited(texts[i].tolist(), most[i], kind, r), np.uint64)) for i in members for kind in range(3) for _ in range(rounds)]
-    shortest = min(len(texts[i]) for i in members)
+    rounds = -(-COPIES // len(members))
+    shortest, longest = len(texts[members[0]]), len(texts[members[-1]])
+    around = lambda n: [r.getrandbits(64) for _ in range(n)]
+    copies = [(i, np.array(around(longest) + _edited(texts[i].tolist(), most[i], kind, r) + around(STEPS_A_WORD * longest), np.uint64)) for kind in range(3) for i in members for _ in range(rounds)]
+    each = len(copies) // 3
     missed = list(range(len(copies)))
-    while len(out.repetitions) < MOST_REPETITIONS and len(missed) > (1 - recall) * len(copies):
+    while missed and len(out.repetitions) < MOST_REPETITIONS and max(np.bincount(np.array(missed) // each)) > (1 - recall) * each:
         sampled = sorted(r.sample(range(STEPS_A_WORD * shortest), SAMPLED))
         one = _repetition([texts[i] for i in members], r.getrandbits(63), sampled)
         out.repetitions.append((*one[:3], {k: [members[j] for j in v] for k, v in one[3].items()}))
-        sizes = np.array([len(copies[c][1]) for c in missed])
-        stops = np.cumsum(sizes)
+        stops = np.cumsum([len(copies[c][1]) for c in missed])
         flat = np.concatenate([copies[c][1] for c in missed])
         near = np.flatnonzero(pairs[_slots(flat)])
         starts = _starts(near, out.dense, len(flat))
-        place = np.searchsorted(stops, starts, side="right")
-        hit = {(int(np.searchsorted(stops, s, side="right")), i) for s, i in candidates(flat, starts, stops[place], out.repetitions[-1:])}
-        missed = [c for at, c in enumerate(missed) if (at, copies[c][0]) not in hit]
+        true = np.append(0, stops[:-1]) + longest
+        place = np.minimum(np.searchsorted(stops, starts, side="right"), len(missed) - 1)
+        here = np.abs(starts - true[place]) <= np.array([most[copies[c][0]] for c in missed])[place]  # the others don't lead to the whole copy
+        starts, place = starts[here], place[here]
+        at = dict(zip(starts.tolist(), place.tolist(), strict=True))
+        hit = {(at[start], i) for start, i in candidates(flat, starts, stops[place], out.repetitions[-1:])}
+        missed = [c for k, c in enumerate(missed) if (k, copies[c][0]) not in hit]
     return out
 
 
 def prepare(rows: list[tuple[int, str]], similarity: float = 0.75, recall: float = 0.97, seed: int = 11) -> Tables:
     """Tables of a block of (id, text) items.
 
-    Repetitions are added to each length class until ``recall`` of simulated
-    copies of its items, each with as many word edits as are allowed, all over
-    it, at its head or in a row, share a key with their item at a start that
+    Repetitions are added to each length class until ``recall`` of each kind of simulated
+    copies of its items within longer text, each with as many word edits as are
+    allowed, all over it, at its head or in a row, share a key with their item at a start that
     the search looks at, or MOST_REPETITIONS are reached.
     """
     column = pa.array([t or "" for _, t in rows], pa.string())

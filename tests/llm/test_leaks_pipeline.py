@@ -109,8 +109,8 @@ def planted(sizes, kinds, seed=3, copies=120):
         kind = kinds[d % len(kinds)]
         if kind == "all over":
             for _ in range(most):
-                at = r.randrange(len(w))
-                w[at : at + r.choice((0, 1))] = some(r.choice((0, 1)))
+                change, at = r.randrange(3), r.randrange(len(w))
+                w[at : at + (change != 0)] = some(change < 2)
         else:
             at = 0 if kind == "head" else r.randrange(len(w) - most + 1)
             w[at : at + most] = some(most)
@@ -129,3 +129,7 @@ def test_head_and_block_edits_beside_a_short_item(table, spark):
     r = random.Random(0)
     sizes = [r.randint(15, 59) for _ in range(60)] + [8]
     assert recall(table, spark, sizes, ["head", "block"]) >= 0.97
+
+
+def test_items_of_one_length_in_longer_text(table, spark):
+    assert recall(table, spark, [40] * 30, ["all over"], 3, 400) >= 0.95
