@@ -7,19 +7,24 @@ the window leave few differing steps. A repetition has bits of its own and a
 few sampled steps; windows and benchmark items that agree in all of them are
 candidates. Items are searched by classes of like length, each with windows of
 its own and steps sampled over whole items. Repetitions are added until edited
-copies of a class's items reach the target recall. Candidates are decided by the exact edit distance in words: up
+copies of a class's items reach the target recall; a class that doesn't reach
+it is searched without loss, by the rarest word pairs of its items. Candidates are decided by the exact edit distance in words: up
 to ``1 - similarity`` of the item's words.
 
 Windows are walked only where enough word pairs of any item lie close together;
 an occurrence within the distance always has that many (each edit destroys two
-pairs at most), so this loses nothing.
+pairs at most), so this loses nothing where the item keeps a pair (for a
+similarity of 0.7 and more, any). So an occurrence also has one of any choice
+of twice the allowed edits and one more of the item's pairs: the exact search
+looks only where the rarest of them are.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -99,6 +104,28 @@ def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int, i
     return end - min(sizes), end, d
 
 
+def occurrences(item: list[int], text: list[int], most: int) -> list[tuple[int, int, int]]:
+    """(start, end, distance) of the stretches within ``most`` edits that don't overlap, closest first, then first, then shortest."""
+    n, out, todo = len(item), [], [(0, len(text))]
+    while todo:
+        low, high = todo.pop()
+        taken: list[tuple[int, int]] = []
+        for d, end in sorted((d, low + e) for e, d in ends_within(item, text[low:high], most)):
+            at = bisect_left(taken, (end, 0))
+            before = taken[at - 1][1] if at else low
+            if end - n + d < before:
+                continue  # overlaps what is closer
+            back = ends_within(item[::-1], text[max(low, end - n - d) : end][::-1], d)
+            start = end - min(e for e, x in back if x == d)
+            if start >= before:
+                taken.insert(at, (start, end))
+                out.append((start, end, d))
+        if taken:
+            edges = [low, *(x for pair in taken for x in pair), high]
+            todo += [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= n - most]
+    return sorted(out)
+
+
 @dataclass
 class Lengths:
     """Items of like length."""
@@ -107,6 +134,7 @@ class Lengths:
     pairs: np.ndarray  # filter of the items' word pairs
     dense: list[tuple[int, int]]  # by length of item: words of its longest occurrence, word pairs that any has
     repetitions: list[tuple] = field(default_factory=list)  # seed, sampled steps, keys after each, full key -> items
+    rare: tuple[np.ndarray, np.ndarray] | None = None  # word pairs, ascending, and their items, where the search is exact
 
 
 @dataclass
@@ -196,6 +224,17 @@ def _edited(item: list[int], most: int, kind: int, r: random.Random) -> list[int
     return out
 
 
+def _dense(near: np.ndarray, dense: list[tuple[int, int]]) -> np.ndarray:
+    """The places of ``near`` that lie in a group of enough word pairs."""
+    edge = np.zeros(len(near) + 1, np.int64)
+    for reach, least in dense:
+        k = least - 1
+        close = np.flatnonzero(near[k:] - near[: len(near) - k] < reach) if len(near) > k else near[:0]
+        np.add.at(edge, close, 1)
+        np.add.at(edge, close + k + 1, -1)
+    return near[np.cumsum(edge[:-1]) > 0]
+
+
 def _starts(near: np.ndarray, dense: list[tuple[int, int]], n: int) -> np.ndarray:
     """Starts of the windows that may hold enough of the word pairs at ``near``, in ``n`` words."""
     edge = np.zeros(n + 1, np.int64)
@@ -234,16 +273,29 @@ def _lengths(members: list[int], texts: list[np.ndarray], most: list[int], recal
         at = dict(zip(starts.tolist(), place.tolist(), strict=True))
         hit = {(at[start], i) for start, i in candidates(flat, starts, stops[place], out.repetitions[-1:])}
         missed = [c for k, c in enumerate(missed) if (k, copies[c][0]) not in hit]
+    if missed and max(np.bincount(np.array(missed) // each)) > (1 - recall) * each:
+        out.repetitions, out.rare = [], _rarest(members, texts, most)
     return out
 
 
+def _rarest(members: list[int], texts: list[np.ndarray], most: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest word pairs of each item, one more than its allowed edits can destroy, and the items, by pair."""
+    pairs = [runs(texts[i], 2) for i in members]
+    known, counts = np.unique(np.concatenate(pairs), return_counts=True)
+    chosen = [np.unique(p[np.argsort(counts[np.searchsorted(known, p)], kind="stable")[: 2 * most[i] + 1]]) for i, p in zip(members, pairs, strict=True)]
+    flat, items = np.concatenate(chosen), np.repeat(members, [len(x) for x in chosen])
+    order = np.argsort(flat, kind="stable")
+    return flat[order], items[order]
+
+
 def prepare(rows: list[tuple[int, str]], similarity: float = 0.75, recall: float = 0.97, seed: int = 11) -> Tables:
     """Tables of a block of (id, text) items.
 
-    Repetitions are added to each length class until ``recall`` of each kind of simulated
-    copies of its items within longer text, each with as many word edits as are
-    allowed, all over it, at its head or in a row, share a key with their item at a start that
-    the search looks at, or MOST_REPETITIONS are reached.
+    Repetitions are added to each length class until ``recall`` of each kind of
+    simulated copies of its items within longer text, each with as many word
+    edits as are allowed, all over it, at its head or in a row, share a key with
+    their item at a start that the search looks at. A class that doesn't get
+    there in MOST_REPETITIONS is searched exactly.
     """
     column = pa.array([t or "" for _, t in rows], pa.string())
     _, _, _, hashes, first = word_hashes(column)
@@ -288,24 +340,50 @@ def _leaks(hashes: np.ndarray, first: np.ndarray, tables: Tables) -> list[tuple[
 
 def _class_leaks(hashes: np.ndarray, first: np.ndarray, pairs: np.ndarray, near: np.ndarray, lengths: Lengths, tables: Tables) -> list[tuple[int, int, int, int, int]]:
     """Occurrences of a class's items; ``near`` are the places of its word pairs."""
+    if lengths.rare is not None:
+        known, items = lengths.rare
+        at = _dense(near, lengths.dense)
+        low, high = np.searchsorted(known, pairs[at]), np.searchsorted(known, pairs[at], side="right")
+        n = high - low
+        which = items[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        places = np.repeat(at, n)
+        reach = [len(tables.items[i]) + tables.most[i] for i in which.tolist()]
+        spans = ((i, p - x + 2, p + x) for i, p, x in zip(which.tolist(), places.tolist(), reach, strict=True))
+        return _settled(hashes, first, pairs, places, spans, tables)
     starts = _starts(near, lengths.dense, len(hashes))
     if not len(starts):
         return []
     rows = np.searchsorted(first, starts, side="right") - 1
-    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    row_at = dict(zip(starts.tolist(), rows.tolist(), strict=True))
-    for start, i in sorted(candidates(hashes, starts, first[rows + 1], lengths.repetitions)):
-        row, item, most = row_at[start], tables.items[i], tables.most[i]
-        held = found.setdefault((row, i), [])
-        if held and held[-1][0] <= start < held[-1][1]:
-            continue
-        begin, end = max(int(first[row]), start - most, held[-1][1] if held else 0), min(int(first[row + 1]), start + len(item) + 2 * most)
-        own = tables.own[i]
-        if sum(map(own.__contains__, pairs[begin : end - 1].tolist())) < len(item) - 1 - 2 * most:
-            continue  # too few of its word pairs for any match
-        if (m := best_match(item, hashes[begin:end].tolist(), most)) is not None:
-            held.append((begin + m[0], begin + m[1], m[2]))
-    return [(row, i, a - int(first[row]), b - int(first[row]), d) for (row, i), held in found.items() for a, b, d in held]
+    found = sorted(candidates(hashes, starts, first[rows + 1], lengths.repetitions))
+    spans = ((i, start - tables.most[i], start + len(tables.items[i]) + 2 * tables.most[i]) for start, i in found)
+    return _settled(hashes, first, pairs, np.array([x[0] for x in found], np.int64), spans, tables)
+
+
+def _settled(hashes: np.ndarray, first: np.ndarray, pairs: np.ndarray, places: np.ndarray, spans: Iterable[tuple[int, int, int]], tables: Tables) -> list[tuple[int, int, int, int, int]]:
+    """Occurrences by the exact distance in or beside the (item, begin, end) spans that hold enough of the item's word pairs; ``places`` ascend and tell each span's row."""
+    joined: dict[tuple[int, int], list[list[int]]] = {}
+    for row, (i, begin, end) in zip((np.searchsorted(first, places, side="right") - 1).tolist(), spans, strict=True):
+        begin, end = max(int(first[row]), begin), min(int(first[row + 1]), end)
+        held = joined.setdefault((row, i), [])
+        if held and begin <= held[-1][1]:
+            held[-1][1] = max(end, held[-1][1])
+        else:
+            held.append([begin, end])
+    out = []
+    for (row, i), held in joined.items():
+        item, most, own = tables.items[i], tables.most[i], tables.own[i]
+        low, high, wide = int(first[row]), int(first[row + 1]), len(item) + most
+        kept: list[list[int]] = []
+        for begin, end in held:
+            if sum(map(own.__contains__, pairs[begin : end - 1].tolist())) < len(item) - 1 - 2 * most:
+                continue  # too few of its word pairs for any match
+            begin, end = max(low, begin - wide), min(high, end + wide)  # room for a closer match that reaches beyond
+            if kept and begin <= kept[-1][1]:
+                kept[-1][1] = end
+            else:
+                kept.append([begin, end])
+        out += [(row, i, begin - low + a, begin - low + b, d) for begin, end in kept for a, b, d in occurrences(item, hashes[begin:end].tolist(), most)]
+    return out
 
 
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

@@ -133,3 +133,31 @@ def test_head_and_block_edits_beside_a_short_item(table, spark):
 
 def test_items_of_one_length_in_longer_text(table, spark):
     assert recall(table, spark, [40] * 30, ["all over"], 3, 400) >= 0.95
+
+
+def test_a_class_beyond_the_repetitions_is_searched_exactly(table, spark, monkeypatch):
+    monkeypatch.setattr(leaks, "MOST_REPETITIONS", 4)
+    assert recall(table, spark, [40] * 30 + [120] * 5, ["head", "block", "all over"]) == 1
+
+
+def test_closest_occurrences():
+    r = random.Random(8)
+    for _ in range(400):
+        item, text = [r.randrange(5) for _ in range(r.randint(5, 9))], [r.randrange(5) for _ in range(r.randint(0, 60))]
+        most = leaks.allowed(len(item), 0.75)
+        got = leaks.occurrences(item, text, most)
+        assert all(x[1] <= y[0] for x, y in zip(got[:-1], got[1:], strict=True))
+        assert all(distances(item, text[a:b])[-1] == d <= most for a, b, d in got)
+        edges = [0, *(x for a, b, _ in got for x in (a, b)), len(text)]
+        assert all(not leaks.ends_within(item, text[a:b], most) for a, b in zip(edges[::2], edges[1::2], strict=True))
+        if (m := leaks.best_match(item, text, most)) is not None:
+            assert m in got
+
+
+def test_the_closest_stretch_is_told(table, spark):
+    r = random.Random(2)
+    some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    items = [some(r.randint(15, 20)) for _ in range(30)]
+    docs = [(d, " ".join(some(40) + items[d % 30] + some(40))) for d in range(3000)]
+    got = leaks.find(table(docs), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()
+    assert len(got) > 0.97 * len(docs) and all(x.item_id == x.doc_id % 30 and x.distance == 0 for x in got)
