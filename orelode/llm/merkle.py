@@ -49,13 +49,20 @@ def likeness(a: Column, b: Column) -> Column:
 def edits(a: Column, b: Column) -> Column:
     """Where two trees differ: array of positions (from 0) of the paragraphs of ``a`` that ``b`` lacks; empty for equal roots.
 
-    Sections that both have are settled by their nodes; only paragraphs that
-    ``b`` has nowhere remain, each by its first place, so moved paragraphs
-    don't count.
+    A paragraph that ``a`` has more often than ``b`` counts at each of its
+    places beyond as many as ``b`` has, the last ones. ``edits(b, a)`` has the
+    paragraphs that were deleted. Moved paragraphs don't count.
     """
     none = F.array().cast("array<int>")
-    places = F.transform(F.array_except(a["paragraphs"], b["paragraphs"]), lambda p: (F.array_position(a["paragraphs"], p) - 1).cast("int"))
-    return F.when((a["root"] == b["root"]) | (F.size(F.array_except(a["sections"], b["sections"])) == 0), none).otherwise(places)
+    mine, other = a["paragraphs"], b["paragraphs"]
+    new = F.array_except(mine, other)
+    # Paragraphs that both have are only counted where one occurs repeatedly.
+    often = F.array_intersect(F.filter(F.array_distinct(mine), lambda p: F.size(mine) - F.size(F.array_remove(mine, p)) > F.size(other) - F.size(F.array_remove(other, p))), other)
+    more = F.when(F.size(F.array_distinct(mine)) == F.size(mine), F.array().cast("array<string>")).otherwise(often)
+    places = lambda p: F.filter(F.transform(mine, lambda x, i: F.when(x == p, i)), lambda i: i.isNotNull())
+    beyond = F.flatten(F.transform(more, lambda p: F.slice(places(p), F.size(other) - F.size(F.array_remove(other, p)) + 1, F.size(mine))))
+    first = F.filter(F.transform(mine, lambda x, i: F.when(F.array_contains(new, x), i)), lambda i: i.isNotNull())
+    return F.when(a["root"] == b["root"], none).otherwise(F.array_sort(F.concat(first, beyond)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

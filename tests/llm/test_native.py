@@ -78,3 +78,14 @@ def test_edited_texts_of_the_query(spark):
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + docs[(k + 1) % len(docs)][1][:n]).encode()).hexdigest()
     long = [r for r in got.values() if r.n_chars > 300]
     assert sum(r.near_edited > 0.5 for r in long) > 0.9 * len(long) and sum(r.near_next < 0.1 for r in long) > 0.9 * len(long)
+
+
+def test_repeated_and_deleted_paragraphs_are_located(table):
+    both = lambda x, y: merkle.fingerprints(table([(1, x)])).select(F.col("tree").alias("x")).crossJoin(merkle.fingerprints(table([(2, y)])).select(F.col("tree").alias("y"))).select(merkle.edits(F.col("x"), F.col("y")).alias("new"), merkle.edits(F.col("y"), F.col("x")).alias("gone")).first()
+    r = both("a\nnew\nb\nnew\na\na", "a\nb\nc\na\nd")
+    assert list(r["new"]) == [1, 3, 5] and list(r["gone"]) == [2, 4]
+    r = random.Random(6)
+    for _ in range(6):
+        x, y = ([r.choice("abcdef") for _ in range(r.randint(1, 12))] for _ in range(2))
+        want = [i for i, p in enumerate(x) if x[: i + 1].count(p) > y.count(p)]
+        assert list(both("\n".join(x), "\n".join(y))["new"]) == want
