@@ -1,32 +1,35 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
 A document is the set of its distinct five-word shingles. All shingles have one
-order: by class of estimated frequency (a sketch over all documents), then by
-hash. Two sets with a Jaccard likeness of at least ``percent`` share one of the
-first ``n - ceil(percent n / 100) + 1`` shingles of each; where a document's
-prefix lengthened by ``l - 1`` more, they share at least the smaller ``l``.
-Each document lengthens its prefix by the number of frequent shingles in it,
-the estimated cost of its candidates, and so asks for as many more shared ones.
+order: by class of frequency (counted over all documents), then by hash. Two
+sets with a Jaccard likeness of at least ``percent`` share one of the first
+``n - ceil(percent n / 100) + 1`` shingles of each; where a document's prefix
+lengthened by ``l - 1`` more, they share at least the smaller ``l``. Each
+document lengthens its prefix by the number of frequent shingles in it, the
+estimated cost of its candidates, and so asks for as many more shared ones.
 
 From shared prefix shingles to links, without all pairs of a group:
 
 1. Equal sets are one class; one document stands for it.
-2. In each shingle's list every document meets only the list's centre. Centres
-   that look alike are verified; their links make the first components.
-3. The same once more among the components of each list.
-4. Lists that still hold several components are searched for pairs across
-   components, those of the largest one against the others only: by signatures,
-   a block at a time, so only pairs that can reach the threshold become rows.
-   Then their whole texts are compared.
-
-Steps 2 and 3 only save work: two documents of one component need no link of
-their own to be in it, and step 4 looks at all other pairs, so no link between
-components is lost.
+2. The centre of a shingle's list is its smallest document. Lists of one centre
+   are one group: a row for each document in it, with the number of prefix
+   shingles that led there, whatever their number. Two documents that share a
+   prefix shingle meet in the group of its centre.
+3. Each document is verified against the centre it shares most with; these
+   links make the first components.
+4. In each group, members are compared by signatures across components, a block
+   at a time. In two rounds the likeliest pair of each document is verified, and
+   components grow; then all pairs that are still across components and can
+   reach the threshold.
+
+Step 3 and the rounds of 4 only save work: two documents of one component need
+no link of their own to be in it, and the end of 4 looks at all other pairs, so
+no link between components is lost.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,71 +37,152 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, release, slices, written
+from .common import cut, id_text, slices, written
 from .graph import components
 from .shingles import WORDS, mix, shingle_sets
 
-#: Counters of the frequency sketch: 2 ** BITS.
-BITS = 20
+#: Shingles that at least so many documents hold are frequent. Doubled until the frequent ones are 2 ** MOST_BITS at most.
+LEAST, MOST_BITS = 16, 21
+#: Counters of a reducer's share of the counting, and shingles of a task that are packed at once.
+RANGE, PACK = 22, 1 << 22
+#: Places of the table of frequency classes that is broadcast: 2 ** TABLE at most.
+TABLE = 24
 #: Rows that are broadcast at most (two numbers each); larger sides are shuffled.
 BROADCAST = 500_000
-#: Bits of the signatures that travel with lists; pairs that pass are compared by their full ones.
+#: Bits of the signatures that travel with groups; pairs that pass are compared by their full ones.
 BRIEF = 1024
+#: Rows of a group that one task holds at once; a longer group is dealt to pairs of blocks.
+BLOCK = 4096
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST else df
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each document (its set's size and 128-bit hash), and for each task a row with its overfull counters."""
+def pack(slots: np.ndarray, width: int) -> bytes:
+    """Ascending numbers as differences of ``width`` bytes; the largest value says that the difference goes on."""
+    kind, top = np.dtype(f"u{width}"), (1 << 8 * width) - 1
+    steps = np.diff(slots, prepend=0)
+    more = steps // top
+    out = np.full(int(more.sum()) + len(steps), top, kind)
+    out[np.cumsum(more + 1) - 1] = (steps % top).astype(kind)
+    return out.tobytes()
+
+
+def unpack(packed: bytes, width: int) -> np.ndarray:
+    steps = np.frombuffer(packed, f"u{width}")
+    return np.cumsum(steps, dtype=np.int64)[steps != (1 << 8 * width) - 1]
+
+
+def _slot_bits(texts: DataFrame) -> int:
+    """Bits of a shingle's slot: about two slots for each shingle of the corpus, one task's share at least."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(RANGE, min(46, math.ceil(math.log2(max(1, size) / 3.5))))
+
+
+def _width(bits: int) -> int:
+    """Bytes of a packed difference, by the usual gap of a full pack."""
+    return 1 if bits <= 30 else 2 if bits <= 38 else 4
+
+
+def _sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """A row for each document (its set's size, 128-bit hash and signatures), and rows of packed slots by range of the counting."""
+    width = _width(bits)
+
+    def packed(every: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        slots, counts = np.unique(np.concatenate(every) >> np.uint64(64 - bits), return_counts=True)
+        slots = slots.astype(np.int64)
+        edges = np.searchsorted(slots, np.arange((1 << bits - RANGE) + 1, dtype=np.int64) << RANGE)
+        for low in range(0, len(edges) - 1, 256):
+            ranges, once, often, times = [], [], [], []
+            for r in range(low, min(low + 256, len(edges) - 1)):
+                part, c = slots[edges[r] : edges[r + 1]] - (r << RANGE), counts[edges[r] : edges[r + 1]]
+                if len(part):
+                    ranges.append(r)
+                    once.append(pack(part, width))
+                    often.append(part[c > 1].astype(np.int32).tobytes())
+                    times.append((c[c > 1] - 1).astype(np.int32).tobytes())
+            none = [pa.nulls(len(ranges), k) for k in (pa.int64(),) * 5 + (pa.binary(),) * 2]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(ranges, pa.int64()), *(pa.array(x, pa.binary()) for x in (once, often, times))], names=names)
+
+    names = ["doc_id", "text_hash", "n", "k1", "k2", "sign", "brief", "range", "once", "often", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(1 << BITS, np.int64), 0
-        names = ["doc_id", "text_hash", "n", "k1", "k2", "sign", "brief", "slots", "counts"]
+        held, have = [], 0
         for batch in slices(batches):
             sets = shingle_sets(batch.column(2), size)
             n = np.array([len(s) for s in sets], np.int64)
             every = np.concatenate(sets)
-            counts += np.bincount((every >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-            total += len(every)
             at = np.concatenate([[0], np.cumsum(n)])
             keys = []
             for salt in (0x1234567, 0x89ABCDEF01):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(every ^ np.uint64(salt)))])
                 keys.append(mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64)).view(np.int64))
             signs = [signature(x) for x in sets]
-            briefs = [_fold(x, BRIEF // 64).tobytes() for x in signs]
-            empty = pa.nulls(len(n), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.array(signs, pa.binary()), pa.array(briefs, pa.binary()), empty, empty], names=names)
-        mean = total / (1 << BITS)
-        slots = np.flatnonzero(counts > mean + 6 * mean**0.5 + 4)
-        none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([slots.tolist()], pa.list_(pa.int64())), pa.array([counts[slots].tolist()], pa.list_(pa.int64()))], names=names)
+            briefs = [_fold(x).tobytes() for x in signs]
+            empty = [pa.nulls(len(n), k) for k in (pa.int64(),) + (pa.binary(),) * 3]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.array(signs, pa.binary()), pa.array(briefs, pa.binary()), *empty], names=names)
+            held.append(every)
+            have += len(every)
+            if have >= PACK:
+                yield from packed(held)
+                held, have = [], 0
+        if have:
+            yield from packed(held)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, sign binary, brief binary, slots array<long>, counts array<long>")
-
-
-def _levels(found: DataFrame) -> np.ndarray:
-    """Frequency class of each counter: 0 for the ordinary, 1 and up by doublings beyond the usual load."""
-    n, total = found.where("n is not null").agg(F.count("*"), F.sum("n")).first()
-    least = max(32, (total or 0) / (1 << BITS) + (n or 0) / 512)
-    pairs = found.where("slots is not null").select(F.explode(F.arrays_zip("slots", "counts")).alias("p")).select("p.slots", "p.counts")
-    frequent = pairs.groupBy("slots").agg(F.sum("counts").alias("c")).where(F.col("c") >= least).toArrow()  # 2 ** BITS rows at most
-    levels = np.zeros(1 << BITS, np.uint8)
-    if frequent.num_rows:
-        levels[frequent.column(0).to_numpy()] = 1 + np.log2(frequent.column(1).to_numpy() / least).astype(np.uint8)
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, sign binary, brief binary, range long, once binary, often binary, times binary")
+
+
+def _frequent(found: DataFrame, bits: int) -> DataFrame:
+    """``slot, level``: the slots that LEAST documents or more fall on; the level counts doublings."""
+    width = _width(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(r: int, counts: np.ndarray) -> pa.RecordBatch:
+            slots = np.flatnonzero(counts >= LEAST)
+            return pa.RecordBatch.from_arrays([pa.array(slots + (r << RANGE)), pa.array(np.log2(counts[slots] / LEAST).astype(np.int32))], names=["slot", "level"])
+
+        last, counts = None, np.zeros(1 << RANGE, np.int64)
+        for batch in batches:
+            for r, *parts in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
+                if r != last:
+                    if last is not None:
+                        yield done(last, counts)
+                    last = r
+                    counts[:] = 0
+                once, often, times = (x.as_py() for x in parts)
+                counts[unpack(once, width)] += 1  # each slot once in a pack
+                counts[np.frombuffer(often, np.int32)] += np.frombuffer(times, np.int32)
+        if last is not None:
+            yield done(last, counts)
+
+    packs = found.where("range is not null").select("range", "once", "often", "times")
+    return packs.repartition("range").sortWithinPartitions("range").mapInArrow(run, "slot long, level int")
+
+
+def _levels(found: DataFrame, bits: int) -> np.ndarray:
+    """Frequency class of each place of a table: 0 for the ordinary, 1 and up by doublings. A table's place is the slot's first bits."""
+    frequent = cut(_frequent(found, bits))
+    sizes = dict(frequent.groupBy("level").count().collect())  # a row for each doubling
+    lowest = 0
+    while sum(c for level, c in sizes.items() if level >= lowest) > 1 << MOST_BITS:
+        lowest += 1
+    rows = frequent.where(F.col("level") >= lowest).toArrow()  # 2 ** MOST_BITS rows at most
+    wide = min(TABLE, bits)
+    levels = np.zeros(1 << wide, np.uint8)
+    if rows.num_rows:
+        np.maximum.at(levels, rows.column(0).to_numpy() >> (bits - wide), (rows.column(1).to_numpy() - lowest + 1).astype(np.uint8))
     return levels
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parities of how many shingles fall on each of about twice as many bits as there are shingles.
+    """Parities of how many shingles fall on each of about twice as many bits as there are shingles, BRIEF at least.
 
     Two signatures differ in at most as many bits as the sets differ in
     shingles; halving one (by exclusive or) keeps that.
     """
-    bits = 1 << max(9, (2 * len(s)).bit_length())
+    bits = max(BRIEF, 1 << (2 * len(s)).bit_length())
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -115,14 +199,28 @@ def may_reach(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
+def _fold(sign: bytes) -> np.ndarray:
+    """A signature as BRIEF bits, in numbers of 64 bits, halved as often as it takes."""
+    words = np.frombuffer(sign, np.uint64)
+    while len(words) > BRIEF // 64:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def prefix_length(n: int, percent: int, more: int = 0) -> int:
-    """Shingles of an ``n``-set's prefix that asks for ``1 + more`` shared ones."""
-    return min(n, n - -(-percent * n // 100) + 1 + more)
+    """Shingles of an ``n``-set's prefix that asks for ``1 + more`` shared ones; ``more`` below ``overlap(n, percent)``."""
+    return n - overlap(n, percent) + 1 + more
+
+
+def overlap(n: int, percent: int) -> int:
+    """Shingles that an ``n``-set shares with any that it links to, at least."""
+    return -(-percent * n // 100)
 
 
 def _index(docs: DataFrame, levels: np.ndarray, percent: int, size: int) -> DataFrame:
-    """A row for each prefix shingle: token, level, doc, n (set size), at (place in the order), l (shared ones asked for)."""
+    """A row for each prefix shingle: token, doc, n (set size), l (shared ones asked for), level."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shift = np.uint64(64 - (len(levels) - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = shared.value
@@ -130,22 +228,40 @@ def _index(docs: DataFrame, levels: np.ndarray, percent: int, size: int) -> Data
             sets = shingle_sets(batch.column(1), size)
             parts = []
             for s in sets:
-                level = level_of[(s >> np.uint64(64 - BITS)).astype(np.int64)]
+                level = level_of[(s >> shift).astype(np.int64)]
                 order = np.argsort(level, kind="stable")
                 first = prefix_length(len(s), percent) if len(s) else 0
-                more = int((level[order[:first]] > 0).sum())
-                order = order[: prefix_length(len(s), percent, more) if len(s) else 0]
+                more = min(int((level[order[:first]] > 0).sum()), max(0, overlap(len(s), percent) - 1))
+                order = order[: first + more]
                 parts.append((s[order], level[order], 1 + more))
             sizes = np.array([len(p[0]) for p in parts], np.int64)
             if not sizes.sum():
                 continue
             docs_of = np.repeat(np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64), sizes)
-            at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            columns = [np.concatenate([p[0] for p in parts]).view(np.int64), np.concatenate([p[1] for p in parts]).astype(np.int32), docs_of, np.repeat([len(s) for s in sets], sizes).astype(np.int32), at.astype(np.int32), np.repeat([p[2] for p in parts], sizes).astype(np.int32)]
-            for low in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in columns], names=["token", "level", "doc", "n", "at", "l"])
+            columns = [np.concatenate([p[0] for p in parts]).view(np.int64), docs_of, np.repeat([len(s) for s in sets], sizes).astype(np.int32), np.repeat([p[2] for p in parts], sizes).astype(np.int32), np.concatenate([p[1] for p in parts]).astype(np.int32)]
+            for low in range(0, len(docs_of), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in columns], names=["token", "doc", "n", "l", "level"])
+
+    return docs.mapInArrow(run, "token long, doc long, n int, l int, level int")
+
+
+def _groups(index: DataFrame) -> DataFrame:
+    """``centre, doc, n, l, k, mask``: the lists, joined by centre, that hold more than one document.
 
-    return docs.mapInArrow(run, "token long, level int, doc long, n int, at int, l int")
+    ``k`` counts the shingles that led the document there; ``mask`` has a bit
+    for each by its hash. A frequent shingle's list is dealt to parts with a
+    centre each first, and these have theirs.
+    """
+    parts = F.expr("shiftleft(4, least(level, 18))")
+    salted = index.withColumn("part", F.when(F.col("level") == 0, 0).otherwise(F.pmod(F.xxhash64("doc"), parts)))
+    lists = Window.partitionBy("token", "part")
+    met = salted.select("token", "doc", "n", "l", "level", F.min("doc").over(lists).alias("centre"), F.max("doc").over(lists).alias("other"))
+    live = written(met.where("centre != other or level > 0").select("token", "doc", "n", "l", F.col("level").alias("frequent").cast("boolean"), "centre"))
+    tops = cut(live.where("frequent").groupBy("token").agg(F.min("centre").alias("top"), F.max("doc").alias("other")).where("top != other").select("token", "top"))
+    dealt = live.where("frequent").join(_small(tops, tops.count()), "token").withColumn("centre", F.col("top")).drop("top")
+    every = live.where("not frequent").unionByName(dealt)
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(token), 64) as int))")
+    return written(every.groupBy("centre", "doc").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.count("*").alias("k"), F.bit_or(bit).alias("mask")))
 
 
 def possible(signs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -154,8 +270,8 @@ def possible(signs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(2, 6)]
-            yield batch.select([0, 1]).filter(pa.array([may_reach(*c, percent) for c in zip(*cols, strict=True)], pa.bool_()))
+            cols = [batch.column(k) for k in range(2, 6)]
+            yield batch.select([0, 1]).filter(pa.array([may_reach(*(x.as_py() for x in c), percent) for c in zip(*cols, strict=True)], pa.bool_()))
 
     return pairs.join(x, "a").join(y, "b").select("a", "b", "sign_a", "sign_b", "n_a", "n_b").mapInArrow(run, "a long, b long").distinct()
 
@@ -168,7 +284,6 @@ def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int,
     Spark splits.
     """
     pairs = cut(possible(signs, pairs.select("a", "b"), percent))
-    release(docs.sparkSession)
     n = pairs.count()
     left = docs.join(_small(pairs, n), docs["doc_id"] == pairs["a"]).select("a", "b", F.col("text").alias("text_a"))
     ends = pairs.select("b").distinct()
@@ -187,109 +302,93 @@ def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int,
                 ok[i] = 100 * common >= percent * (len(s) + len(last[1]) - common) and common > 0
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    links = cut(left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
-    release(docs.sparkSession)
-    return links
-
-
-def _fold(sign: bytes, most: int = 8) -> np.ndarray:
-    """A signature as ``most`` numbers of 64 bits at most, halved as often as it takes."""
-    words = np.frombuffer(sign, np.uint64)
-    while len(words) > most:
-        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
-    return words
+    return cut(left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
 
 
-def _list_pairs(rows: list[tuple], percent: int, between: bool) -> set[tuple[int, int, int]]:
-    """Pairs of a list (doc, component, main, sign, n, block, l) that may be links between components, with the smaller l.
+def group_pairs(doc: np.ndarray, component: np.ndarray, block: np.ndarray, n: np.ndarray, k: np.ndarray, mask: np.ndarray, brief: np.ndarray, percent: int, between: bool, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, shared shingles at most) of a group's pairs across components that may reach the threshold.
 
-    The members of the list's main component meet the others only. Signatures
-    are compared a block of rows at a time at 512 bits; pairs that pass, at all
-    bits the lists have.
+    The members of the largest component meet the others only. ``between``
+    leaves pairs within a block to others. With ``best``, each row outside the
+    largest component gives only its pair of highest bound.
     """
-    out: set[tuple[int, int, int]] = set()
-
-    def keep(x: tuple, y: tuple) -> None:
-        if x[0] != y[0] and may_reach(x[3], y[3], x[4], y[4], percent):
-            out.add((max(x[0], y[0]), min(x[0], y[0]), min(x[6], y[6])))
-
-    others = [r for r in rows if r[1] != r[2]]
-    if len(rows) <= 6:
-        for x in others:
-            for y in rows:
-                if x[1] != y[1] and (y[1] == y[2] or x[0] < y[0] or between) and (not between or x[5] != y[5]):
-                    keep(x, y)
-        return out
-    flat = np.array([_fold(r[3]) for r in rows])
-    doc, component, n, block = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 4, 5))
-    minor = component != rows[0][2]
-    at = np.flatnonzero(minor)
-    for low in range(0, len(at), 128):
-        k = at[low : low + 128]
-        ok = (component[k, None] != component) & (~minor | (doc[k, None] < doc))
+    names, size = np.unique(component, return_counts=True)
+    minor = component != names[size.argmax()]
+    order = np.argsort(n, kind="stable")
+    sorted_n = n[order]
+    rows, others, bounds = [], [], []
+    for x in np.flatnonzero(minor).tolist():
+        low, high = np.searchsorted(sorted_n, [-(-percent * int(n[x]) // 100), 100 * int(n[x]) // percent + 1])
+        y = order[low:high]
+        ok = (component[y] != component[x]) & (~minor[y] | (doc[y] < doc[x]) | best) & ((mask[y] & mask[x]) != 0)
         if between:
-            ok = (component[k, None] != component) & (block[k, None] != block)
-        ok &= 100 * np.minimum(n[k, None], n) >= percent * np.maximum(n[k, None], n)
-        i, j = np.nonzero(ok)
-        for part in range(0, len(i), 200_000):
-            x, y = k[i[part : part + 200_000]], j[part : part + 200_000]
-            differ = np.bitwise_count(flat[x] ^ flat[y]).sum(axis=1, dtype=np.int64)
-            total = n[x] + n[y]
-            common = (total - differ) // 2
-            good = 100 * common >= percent * (total - common)
-            for c, d in zip(x[good].tolist(), y[good].tolist(), strict=True):
-                keep(rows[c], rows[d])
-    return out
-
-
-#: Rows of a list that one task holds at once; a longer list is dealt to pairs of blocks.
-LIST = 20_000
-
-
-def _across(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components whose signatures let them reach the threshold and that share enough prefix tokens."""
-    blocks = F.ceil(F.col("m") / LIST).cast("int")
-    dealt = mixed.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "component", "main", "sign", "n", "block", "l")
+            ok &= block[y] != block[x]
+        y = y[ok]
+        if not len(y):
+            continue
+        total = n[y] + n[x]
+        common = (total - np.bitwise_count(brief[y] ^ brief[x]).sum(axis=1, dtype=np.int64)) // 2
+        good = 100 * common >= percent * (total - common)
+        y, common, total = y[good], common[good], total[good]
+        if best and len(y):
+            y = y[np.lexsort((doc[y], -common / (total - common)))[:1]]
+        rows.append(np.full(len(y), x))
+        others.append(y)
+        bounds.append(np.minimum(k[y], k[x]))
+    if not rows:
+        none = np.empty(0, np.int64)
+        return none, none, none
+    return np.concatenate(rows), np.concatenate(others), np.concatenate(bounds)
+
+
+def _across(groups: DataFrame, signs: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) across components whose brief signatures let them reach the threshold and that may share enough prefix shingles.
+
+    Two documents share at most as many prefix shingles as the smaller ``k`` of
+    theirs, summed over the groups in which they meet.
+    """
+    marked = groups.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    share = marked.groupBy("centre").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("centre", "m")
+    mixed = marked.join(share, "centre").join(signs.select(F.col("doc_id").alias("doc"), "brief"), "doc")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = mixed.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("centre", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "component", "block", "n", "l", "k", "mask", "brief")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(found: Counter) -> pa.RecordBatch:
-            cols = list(zip(*((*k, c) for k, c in found.items()), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "l", "c"])
-
-        key, held, found = None, [], Counter()
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            if len(cols[0]) > 1:
+                doc, n, l, k = cols[3], cols[6], cols[7], cols[8]
+                i, j, c = group_pairs(doc, cols[4], cols[5], n, k, cols[9], cols[10], percent, bool(cols[1][0] != cols[2][0]), best)
+                for low in range(0, len(i), 100_000):
+                    x, y = i[low : low + 100_000], j[low : low + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(doc[x], doc[y])), pa.array(np.minimum(doc[x], doc[y])), pa.array(np.minimum(l[x], l[y])), pa.array(c[low : low + 100_000])], names=["a", "b", "l", "c"])
+
+        last = None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
-                if row[:3] != key:
-                    if len(held) > 1:
-                        found.update(_list_pairs(held, percent, key[1] != key[2]))
-                    key, held = row[:3], []
-                    if len(found) > 50_000:
-                        yield flush(found)
-                        found = Counter()
-                held.append(row[3:])
-        if len(held) > 1:
-            found.update(_list_pairs(held, percent, key[1] != key[2]))
-        if found:
-            yield flush(found)
-
-    return dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(run, "a long, b long, l long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("l").alias("l")).where("c >= l").select("a", "b")
-
-
-def _hooked(parents: DataFrame, rounds: int = 2) -> DataFrame:
-    """``node, component`` of a table that hooks each node to a smaller one: its ancestor, 2 ** rounds steps up at most.
-
-    Nodes of one component are connected, but not all that are connected need
-    share one: what the lists' centres need, without finding all components.
-    """
-    for _ in range(rounds):
-        up = parents.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        parents = parents.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-    return cut(parents)
-
-
-def _labelled(live: DataFrame, labels: DataFrame) -> DataFrame:
-    return live.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(10)]
+            _, at, data = batch.column(10).buffers()
+            first = np.frombuffer(at, np.int32)[batch.column(10).offset]
+            cols.append(np.frombuffer(data, np.uint64, batch.num_rows * (BRIEF // 64), int(first)).reshape(batch.num_rows, -1))
+            edges = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                key = tuple(int(c[low]) for c in cols[:3])
+                if held and key != last:
+                    yield from flush()
+                last = key
+                held.append([c[low:high].copy() for c in cols])
+        if held:
+            yield from flush()
+
+    pairs = dealt.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high").mapInArrow(run, "a long, b long, l long, c long")
+    if best:
+        return pairs.select("a", "b").distinct()
+    return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("l").alias("l")).where("c >= l").select("a", "b")
 
 
 def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,15 +397,19 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
     Returns ``doc_id, n_shingles, component_id, class_id``, a row for each
     input row. ``component_id`` is the smallest ``doc_id`` reachable by links,
     itself included; ``class_id`` is the smallest with the very same set. Two
-    documents link where ``100 * common >= percent * union``. Documents without
-    words, null and empty texts, have 0 shingles and link with nothing; a text
-    of fewer words than a shingle is its only one. Rows of one id are linked
-    with each other; a null id has null component and class and links with
-    nothing. Other columns are ignored; an empty table gives an empty result.
+    documents link where ``100 * common >= percent * union``, ``percent`` from
+    1 to 100. Documents without words, null and empty texts, have 0 shingles
+    and link with nothing; a text of fewer words than a shingle is its only
+    one. Rows of one id are linked with each other; a null id has null
+    component and class and links with nothing. Other columns are ignored; an
+    empty table gives an empty result.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must lie between 1 and 100, not {percent}")
     texts = id_text(docs, id_col, text_col)
-    found = cut(_sets(texts, size))
-    levels = _levels(found)
+    bits = _slot_bits(texts)
+    found = written(_sets(texts, size, bits))
+    levels = _levels(found, bits)
     rows = found.where("n is not null").select("doc_id", "text_hash", "n", "k1", "k2")
     known = rows.where("doc_id is not null and n > 0")
     signs = found.where("doc_id is not null and n > 0").select("doc_id", "sign", "brief", "n")
@@ -317,44 +420,18 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
     keyed = texts.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
     for gone in (copies, none):
         keyed = keyed.join(_small(gone.select("doc_id", "text_hash"), gone.count()), ["doc_id", "text_hash"], "left_anti")
-    distinct = keyed.select("doc_id", "text")
-
-    index = _index(distinct, levels, percent, size)
-    # A frequent shingle's list is dealt to several parts with a centre each; the second round joins them.
-    salted = index.withColumn("part", F.when(F.col("level") == 0, 0).otherwise(F.pmod(F.xxhash64("doc"), F.lit(4) * F.pow(F.lit(2), F.least("level", F.lit(14)))).cast("int")))
-    lists = Window.partitionBy("token", "part")
-    met = salted.select("token", "doc", "n", "at", "l", "level", F.min("doc").over(lists).alias("centre"), F.max("doc").over(lists).alias("other"))
-    live = written(met.where("centre != other or level > 0").select("token", "doc", "n", "at", "l", "centre"))
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """The best pair of each a, where about half the prefix that the threshold asks for is shared."""
-        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-        best = counted.where(F.col("c") * 1750 >= (percent * 2 - 100) * F.col("n")).groupBy("a").agg(F.max(F.struct("c", F.col("b"))).alias("x"))
-        return best.select("a", F.col("x.b").alias("b"))
-
-    first = verified(texts, signs, likely(live.where("doc != centre").select(F.col("doc").alias("a"), F.col("centre").alias("b"), "n")), percent, size)
-    links, labels = first, _hooked(first.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))
-
-    # Once more among the components of each list, each by its smallest document there.
-    heads = _labelled(live, labels).groupBy("token", "component").agg(F.min(F.struct("doc", "n")).alias("h")).select("token", "h.doc", "h.n")
-    centres = Window.partitionBy("token")
-    second = verified(texts, signs, likely(heads.withColumn("b", F.min("doc").over(centres)).where("doc != b").select(F.col("doc").alias("a"), "b", "n")), percent, size)
-    if not second.isEmpty():
-        links = links.unionByName(second)
-        of = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
-        ends = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).where("x != y")
-        hooks = _hooked(ends.groupBy(F.greatest("x", "y").alias("node")).agg(F.min(F.least("x", "y")).alias("component")))
-        above = hooks.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        labels = cut(labels.join(above, "component", "left").select("node", F.coalesce("up", "component").alias("component")).unionByName(hooks.join(labels.select("node"), "node", "left_anti")))
-
-    # All pairs across components, list by list.
-    marked = _labelled(live, labels)
-    share = marked.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", F.col("top.component").alias("main"), "m")
-    mixed = marked.join(share, "token").select("token", "doc", "l", "component", "main", "m").join(signs.select(F.col("doc_id").alias("doc"), F.col("brief").alias("sign"), "n"), "doc")
-    third = verified(texts, signs, _across(mixed, percent), percent, size)
+    groups = _groups(_index(keyed.select("doc_id", "text"), levels, percent, size))
+
+    # The centre that each document shares most with, where that is about half the prefix that the threshold asks for.
+    met = groups.where("doc != centre").where(F.col("k") * 1750 >= (percent * 2 - 100) * F.col("n")).groupBy("doc").agg(F.max(F.struct("k", "centre")).alias("x"))
+    links = verified(texts, signs, met.select(F.col("doc").alias("a"), F.col("x.centre").alias("b")), percent, size)
+    tested = None
+    for best in (True, True, False):
+        pairs = cut(_across(groups, signs, components(links), percent, best))
+        fresh = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        links = links.unionByName(verified(texts, signs, fresh, percent, size))
+        tested = pairs if tested is None else tested.unionByName(pairs)
     same_id = members.select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b")).where("a != b")
-    if not third.isEmpty():
-        links = links.unionByName(third)
     labels = components(links.unionByName(same_id))
     tagged = rows.join(classes, ["k1", "k2"], "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     lone = F.col("doc_id").isNull() | (F.col("n") == 0)

@@ -68,7 +68,7 @@ def test_components_against_brute_force(table):
 
 def test_everything_frequent(table, monkeypatch):
     """All tokens count as frequent: every prefix is lengthened, every list dealt to parts; nothing is broadcast."""
-    monkeypatch.setattr(joins, "_levels", lambda found: np.full(1 << joins.BITS, 2, np.uint8))
+    monkeypatch.setattr(joins, "_levels", lambda found, bits: np.full(1 << joins.RANGE, 2, np.uint8))
     monkeypatch.setattr(joins, "BROADCAST", 0)
     rows = corpus(2)
     assert form(joins.likeness_components(table(rows))) == brute(rows)
