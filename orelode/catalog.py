@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .functions.scalars import itemset_key, log_complement
+from .functions.lineage import shared_folder
+from .functions.scalars import itemset_key, log_complement, pattern_text, transaction_text
 from .model import Join
 from .operators import extend as ext
-from .operators import stats, topk
+from .operators import stats, topk, transactions
 from .operators.entries import entries, first_level, item_lists
 from .plans.mine import mine
 from .sources import fixtures, text
@@ -108,16 +110,47 @@ def _singles(spark: SparkSession, d: str, shape: str, p: float) -> DataFrame:
     return ext.measured(_level(spark, d, shape, p, 1)).select("first_rank", "pub", "ep")
 
 
-def _shards(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select(F.array_sort("items").alias("items"), "eu", (F.col("first_rank") % 4).cast("long").alias("shard"))
+def _sharded(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The best ``k`` pairs of each of four shards."""
+    found = _pairs(spark, d).select(F.array_sort("items").alias("items"), "eu", "ep")
+    return _long(topk.per_shard(found, k, 4), "shard", "place")
 
 
-def _local_best(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+def _mean(found: DataFrame, name: str) -> float:
+    """A threshold that parts the rows at every scale."""
+    return found.agg(F.avg(name)).first()[0] or 0.0
 
-    place = F.row_number().over(Window.partitionBy("shard").orderBy(*topk.best_first()))
-    found = _shards(spark, d).withColumn("place", place).where("place <= 5")
-    return _long(found, "place").select("shard", itemset_key(F.col("items")).alias("items"), F.round("eu", 4).alias("eu"), "place")
+
+def _over_mean(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _pairs(spark, d)
+    return ext.prune_pub(pairs, _mean(pairs, "pub"))
+
+
+def _pruned_by_ptwu(spark: SparkSession, d: str) -> DataFrame:
+    ranks = _ranks(spark, d, "u1", 0.7)
+    return ext.prune_ptwu(_pairs(spark, d), ranks, _mean(ranks, "ptwu"))
+
+
+def _text_file(spark: SparkSession, lines: DataFrame) -> str:
+    """The lines as a text file of the shared folder."""
+    path = f"{shared_folder(spark)}/orelode-{uuid.uuid4().hex}"
+    lines.select("value").write.text(path)
+    return path
+
+
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The dense fixture by way of text files, with lines that don't count."""
+    noise = lambda *rows: _literal(spark, [(x,) for x in ("", "   ", "abc", *rows)], "value string")
+    lines = text.encode_lines(_occ(spark, d, "u1")).select("value").unionByName(noise("1:2", "+7:1:.5 1:2:1.5 1:2:NaN"))
+    prices = fixtures.profit(spark, "u1").select(F.concat_ws(" ", "item", "profit").alias("value")).unionByName(noise("1", "x 2", "+3 4", "5 NaN"))
+    return text.load(spark, _text_file(spark, lines), _text_file(spark, prices))
+
+
+def intervals(runs: DataFrame) -> DataFrame:
+    """Mean run time of each configuration and its 95 % interval by Student's t, for 2 to 10 runs (null for others)."""
+    wide = F.get(F.array(*map(F.lit, oracle.STUDENT)), (F.col("n") - 2).cast("int")) * F.col("s") / F.sqrt("n")
+    found = runs.groupBy("config").agg(F.count("*").alias("n"), F.avg("ms").alias("m"), F.stddev_samp("ms").alias("s"))
+    return found.select("config", F.round("m", 6).alias("mean"), F.round(F.col("m") - wide, 6).alias("low"), F.round(F.col("m") + wide, 6).alias("high"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -127,9 +160,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "db_sizes": lambda s, d: text.sizes(_occ(s, d, "u1"), fixtures.profit(s, "u1")),
     "tok_roundtrip": lambda s, d: _prob(text.parse_transactions(text.encode_lines(_occ(s, d, "u1")))),
     "tok_reject": lambda s, d: _long(text.parse_tokens(_literal(s, [(1, i, t) for i, t in enumerate(oracle.TOKENS)], "tid long, at int, token string")).select("item", "qty", "prob"), "item", "qty"),
-    "tx_line_encode": lambda s, d: _occ(s, d, "u1").groupBy("tid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "qty"))), lambda x: F.concat_ws(":", x["item"], x["qty"])), " ").alias("line")),
+    "tx_line_encode": lambda s, d: text.encode_lines(_occ(s, d, "u1")).select("tid", F.regexp_replace("value", r"(:[^: ]+)(?= |$)", "").alias("line")),
     "profit_join": lambda s, d: _prob(_priced(s, d, "u2")),
-    "profit_lookup": lambda s, d: _long(_occ(s, d, "u2").join(F.broadcast(fixtures.profit(s, "u2").where("item % 3 = 0")), "item", "left").groupBy("item", F.coalesce("profit", F.lit(0.0)).alias("profit")).agg(F.count("*").alias("n")), "item"),
+    "profit_lookup": lambda s, d: _long(stats.profit_or_zero(_occ(s, d, "u2"), fixtures.profit(s, "u1")).groupBy("item", "profit").agg(F.count("*").alias("n")), "item"),
     "utility_rows": lambda s, d: stats.utilities(_priced(s, d, "u2")).select("tid", F.col("item").cast("long").alias("item"), (F.round("u", 2) + F.lit(0.0)).alias("u")),
     "ptu_by_tx": lambda s, d: stats.ptu(_priced(s, d, "u2")).withColumn("ptu", F.round("ptu", 2)),
     "ptu_broadcast": lambda s, d: stats.with_ptu(_priced(s, d, "u2")).select("tid", F.col("item").cast("long").alias("item"), F.round("ptu", 2).alias("ptu")),
@@ -156,13 +189,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pair_metrics": lambda s, d: _shown(_pairs(s, d)),
     "triple_metrics": lambda s, d: _shown(ext.measured(_level(s, d, "u1", 0.7, 3))),
     "pair_prune_ep": lambda s, d: _shown(ext.prune_ep(_pairs(s, d, "u2", 0.0), 1e-3)),
-    "pair_prune_pub": lambda s, d: _shown(ext.prune_pub(_pairs(s, d), 1e5)),
-    "pair_prune_ptwu": lambda s, d: _shown(ext.prune_ptwu(_pairs(s, d), _ranks(s, d, "u1", 0.7), 1.5e6, 25)),
-    "semi_survivors": lambda s, d: ext.surviving(_level(s, d, "u1", 0.7, 2), ext.prune_pub(_pairs(s, d), 1e5), 300).groupBy(itemset_key(F.col("items")).alias("items")).agg(F.count("*").alias("n")),
+    "pair_prune_pub": lambda s, d: _shown(_over_mean(s, d)),
+    "pair_prune_ptwu": lambda s, d: _shown(_pruned_by_ptwu(s, d)),
+    "semi_survivors": lambda s, d: ext.surviving(_level(s, d, "u1", 0.7, 2), _over_mean(s, d)).groupBy(itemset_key(F.col("items")).alias("items")).agg(F.count("*").alias("n")),
     **{name: _mined(name) for name in oracle.MINED},
     "result_table": lambda s, d: _long(text.result_table(mine(_occ(s, d, "u1"), fixtures.profit(s, "u1"), 10, 0.7)), "rank").withColumns({"eu": F.format_string("%.2f", F.col("eu").cast("double")), "ep": F.format_string("%.4f", F.col("ep").cast("double"))}),
-    "topk_sharded_local": _local_best,
-    "shard_counts": lambda s, d: _shards(s, d).groupBy("shard").agg(F.count("*").alias("n"), F.round(F.min("eu"), 4).alias("weakest")),
+    "topk_sharded_local": lambda s, d: _sharded(s, d, 5).select("shard", itemset_key(F.col("items")).alias("items"), F.round("eu", 4).alias("eu"), "place"),
+    "shard_counts": lambda s, d: _sharded(s, d, 1 << 30).groupBy("shard").agg(F.count("*").alias("n"), F.round(F.min("eu"), 4).alias("weakest")),
     "split_point": lambda s, d: _long(stats.split_point(_ranks(s, d, "u1", 0.7)), "rank"),
     "pattern_order": lambda s, d: _long(topk.ranked(_patterns(s).withColumn("ep", F.lit(1.0))), "rank").select("rank", itemset_key(F.col("items")).alias("items"), "eu"),
     "upsert_dedupe": lambda s, d: topk.upsert(_patterns(s).select(F.array(F.length("t")).alias("items"), "eu", (F.col("eu") / 10).alias("ep"))).withColumn("items", itemset_key(F.col("items"))),
@@ -172,6 +205,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bound_ptwu": lambda s, d: _violations(_pairs(s, d), _ranks(s, d, "u1", 0.7).select(F.col("rank").alias("first_rank"), "ptwu"), F.expr("x.eu > y.ptwu + 1e-6")),
     "bound_pub": lambda s, d: _violations(_pairs(s, d), _singles(s, d, "u1", 0.7), F.expr("x.eu > y.pub + 1e-6")),
     "ep_antimonotone": lambda s, d: _violations(_pairs(s, d, "u2", 0.0), _singles(s, d, "u2", 0.0), F.expr("x.ep > y.ep + 1e-9")),
+    "text_transactions": lambda s, d: _prob(_scanned(s, d)[0].select("item", "qty", "prob")),
+    "text_profits": lambda s, d: _long(_scanned(s, d)[1], "item"),
+    "baskets": lambda s, d: transactions.baskets(_occ(s, d, "u1")).select(transaction_text(F.col("tid"), F.size("items")).alias("shown"), itemset_key(F.col("items")).alias("items"), F.aggregate(F.map_values("quantities"), F.lit(0), lambda a, x: a + x).cast("long").alias("qty")),
+    "basket_lookup": lambda s, d: _long(transactions.looked_up(transactions.baskets(_occ(s, d, "u1")), 7), "qty").withColumn("prob", F.round("prob", 9)),
+    "item_span": lambda s, d: _long(transactions.item_span(_occ(s, d, "u2")), "largest", "dense"),
+    "pattern_text": lambda s, d: _literal(s, oracle.PATTERNS, "t string, eu double").select(pattern_text(F.split("t", ",").cast("array<int>"), F.col("eu"), F.lit(0.5)).alias("shown")),
+    "bench_intervals": lambda s, d: intervals(_runs(s)),
     "bench_stats": lambda s, d: run_statistics(_runs(s)),
 }
 

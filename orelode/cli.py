@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("min_prob", type=float)
     p.add_argument("--search", default="breadth_first", help=", ".join(x.name.lower() for x in Search))
     p.add_argument("--join", default="two_pointer", help=", ".join(x.name.lower() for x in Join))
-    p.add_argument("--collector", default="baseline", help=", ".join(x.name.lower() for x in Collector))
+    p.add_argument("--collector", help="by default what spark.orelode.collector names; " + ", ".join(x.name.lower() for x in Collector))
     p.add_argument("--output", "-o", help="write the table as CSV into this folder instead of printing it")
     p.add_argument("--no-parallel", action="store_true", help="one task at a time")
     p.add_argument("--lenient", action="store_true", help="keep quantities of 0 and less when reading")
@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
 def run(args: argparse.Namespace) -> int:
     """0, or 1 with a message on stderr."""
     try:
-        params = Params(args.k, args.min_prob, args.search, args.join, args.collector, args.debug)
+        params = Params(args.k, args.min_prob, args.search, args.join, args.collector or Collector.BASELINE, args.debug)
         logging.basicConfig(level=logging.DEBUG if args.debug else logging.WARNING, stream=sys.stderr)
         logging.getLogger("py4j").setLevel(logging.WARNING)
         from pyspark.sql import SparkSession
@@ -47,7 +47,7 @@ def run(args: argparse.Namespace) -> int:
         if args.debug:
             print(sizes(occ, profit).first().asDict(), file=sys.stderr)
         began = time.perf_counter()
-        found = mine(occ, profit, params.k, params.min_prob, params.search, params.join, params.collector)
+        found = mine(occ, profit, params.k, params.min_prob, params.search, params.join, args.collector)
         if args.output:
             write_results(found, args.output)
         else:

@@ -4,16 +4,32 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that the session names in ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a folder of its own; any other has
+    executors that would not see it, so that is a ``ValueError``.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return named or current.get()
+    if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="orelode-checkpoint-")
+    sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from a checkpoint in the folder the session names, a local one only where none is set.
+    """The rows of ``df``, computed once and read back from the shared folder.
 
     Partitioning is kept, so joins on the same key need no new shuffle.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orelode-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..model import EPSILON, LOG_ZERO
 
+#: Of the polynomial that deals itemsets to shards.
+SHARD_BASE, SHARD_PRIME = 31, 1_000_003
+
 
 def log_complement(p: Column) -> Column:
     """ln(1 - p), 0 for p <= 0 and the floor for p >= 1, where the logarithm itself would be null."""
@@ -48,8 +51,9 @@ def itemset_key(items: Column) -> Column:
 
 
 def shard_of(items: Column, shards: int) -> Column:
-    """A shard from 0 to shards - 1, the same for every order of the items."""
-    return F.pmod(F.xxhash64(F.array_sort(items)), F.lit(shards)).cast("int")
+    """A shard from 0 to shards - 1, the same for every order of the items: a polynomial of the ascending ids."""
+    value = F.aggregate(F.array_sort(items), F.lit(0).cast("long"), lambda a, x: F.pmod(a * SHARD_BASE + x, F.lit(SHARD_PRIME)))
+    return F.pmod(value, F.lit(shards)).cast("int")
 
 
 def pattern_text(items: Column, eu: Column, ep: Column) -> Column:

@@ -21,6 +21,11 @@ def with_profit(occ: DataFrame, profit: DataFrame, n: int | None = None) -> Data
     return occ.join(small(profit, n), "item").select("tid", "item", "qty", "prob", "profit")
 
 
+def profit_or_zero(occ: DataFrame, profit: DataFrame, n: int | None = None) -> DataFrame:
+    """All occurrences, with 0 for the profit of an item that has none."""
+    return occ.join(small(profit, n), "item", "left").select("tid", "item", "qty", "prob", F.coalesce("profit", F.lit(0.0)).alias("profit"))
+
+
 def utilities(priced: DataFrame) -> DataFrame:
     return priced.withColumn("u", utility(F.col("profit"), F.col("qty")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import at_least, shard_of
@@ -49,6 +49,11 @@ def collect(held: DataFrame, batch: DataFrame, k: int, collector: Collector | st
     return lazy(held, batch, k) if kind is Collector.LAZY else (sharded if kind is Collector.SHARDED else exact)(held.unionByName(batch), k)
 
 
+def configured(spark: SparkSession) -> Collector:
+    """The collector that the session names in ``spark.orelode.collector``, the plain one for none; an unknown name is a ``ValueError``."""
+    return choice(Collector, spark.conf.get("spark.orelode.collector", None) or Collector.BASELINE)
+
+
 def threshold(held: DataFrame, k: int) -> DataFrame:
     """One row: the weakest utility held, 0 until k are."""
     return held.agg(F.when(F.count("*") >= k, F.min("eu")).otherwise(0.0).alias("theta"))

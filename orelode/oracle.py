@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.scalars import SHARD_BASE, SHARD_PRIME
 from .model import EPSILON, LOG_ZERO
 from .sources.fixtures import SHAPES, occ_sql, profit_sql
 
@@ -57,6 +58,8 @@ SELECT row_number() OVER (ORDER BY {ORDER}) AS rank, array_to_string(items, ',')
 TOKENS = ("abc", "1:2", "1:2:0.5:9", "+7:1:.5", "1:2:1.5", "1:2:-0.1", "1:2:NaN", "1:2:0", "1:2:1", "-3:4:0.25", "7:x:0.5", "99999999999:1:0.5", "5:6:", "::", "8:3:0.125")
 PATTERNS = (("1", 5.0), ("1,2", 5.0), ("1,3", 5.0), ("2", 7.0), ("1,2,3", 5.0), ("4", 0.0), ("2,10", 5.0), ("2,9", 5.0))
 RUNS = (("full parallel", (274, 266, 300, 240, 292)), ("sequential", (2611, 2500, 2700, 2650, 2727)), ("phase 3", (62, 60, 70, 81, 90)))
+# The 97.5 % points of Student's t for 1 to 9 degrees of freedom.
+STUDENT = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262)
 EDGES = ((0.0,), (0.25,), (0.5,), (0.75,), (1.0,), (1e-12,), (0.999,))
 
 
@@ -77,7 +80,8 @@ def sql() -> dict[str, str]:
 WHERE regexp_full_match(t, '-?[0-9]+:-?[0-9]+:-?[0-9.]+') AND TRY_CAST(string_split(t, ':')[1] AS INTEGER) IS NOT NULL AND TRY_CAST(string_split(t, ':')[3] AS DOUBLE) BETWEEN 0 AND 1"""
     out["tx_line_encode"] = f"{u1} SELECT tid, string_agg(item || ':' || qty, ' ' ORDER BY item) AS line FROM occ GROUP BY tid"
     out["profit_join"] = f"{u2} SELECT tid, CAST(item AS BIGINT) AS item, CAST(qty AS BIGINT) AS qty, round(prob, 9) AS prob, profit FROM priced"
-    out["profit_lookup"] = f"{u2} SELECT CAST(o.item AS BIGINT) AS item, coalesce(p.profit, 0e0) AS profit, count(*) AS n FROM occ o LEFT JOIN (SELECT * FROM profit WHERE item % 3 = 0) p USING (item) GROUP BY ALL"
+    rich = profit_sql("u1", f"range(1, {SHAPES['u1'][0] + 1}) r(i)")
+    out["profit_lookup"] = f"{u2} SELECT CAST(o.item AS BIGINT) AS item, coalesce(p.profit, 0e0) AS profit, count(*) AS n FROM occ o LEFT JOIN ({rich}) p USING (item) GROUP BY ALL"
     out["utility_rows"] = f"{u2} SELECT tid, CAST(item AS BIGINT) AS item, round(u, 2) + 0e0 AS u FROM priced"
     out["ptu_by_tx"] = f"{u2} SELECT tid, round(ptu, 2) AS ptu FROM ptu"
     out["ptu_broadcast"] = f"{u2} SELECT tid, CAST(item AS BIGINT) AS item, round(ptu, 2) AS ptu FROM priced JOIN ptu USING (tid)"
@@ -103,14 +107,16 @@ WHERE regexp_full_match(t, '-?[0-9]+:-?[0-9]+:-?[0-9.]+') AND TRY_CAST(string_sp
     out["pair_metrics"] = f"{u1} {shown(measured('two'))}"
     out["triple_metrics"] = f"{u1} {shown(measured('three'))}"
     out["pair_prune_ep"] = f"{u2} {shown(f'SELECT * FROM ({measured("two")}) x WHERE ep >= 1e-3 - {EPSILON}')}"
-    out["pair_prune_pub"] = f"{u1} {shown(f'SELECT * FROM ({measured("two")}) x WHERE pub >= 1e5 - {EPSILON}')}"
-    out["pair_prune_ptwu"] = f"{u1} {shown(f'SELECT x.* FROM ({measured("two")}) x JOIN ranks r ON r.rank = x.first_rank WHERE r.ptwu >= 1.5e6 - {EPSILON}')}"
-    out["semi_survivors"] = f"{u1}, s AS (SELECT items FROM ({measured('two')}) x WHERE pub >= 1e5 - {EPSILON}) SELECT {KEY} AS items, count(*) AS n FROM two SEMI JOIN s USING (items) GROUP BY items"
+    over = f"m AS ({measured('two')}), o AS (SELECT * FROM m WHERE pub >= (SELECT avg(pub) FROM m) - {EPSILON})"
+    out["pair_prune_pub"] = f"{u1}, {over} {shown('SELECT * FROM o')}"
+    out["pair_prune_ptwu"] = f"{u1} {shown(f'SELECT x.* FROM ({measured("two")}) x JOIN ranks r ON r.rank = x.first_rank WHERE r.ptwu >= (SELECT avg(ptwu) FROM ranks) - {EPSILON}')}"
+    out["semi_survivors"] = f"{u1}, {over} SELECT {KEY} AS items, count(*) AS n FROM two SEMI JOIN o USING (items) GROUP BY items"
     for name, (_, _, _, shape, k, p) in MINED.items():
         out[name] = mined(shape, k, p)
     out["result_table"] = f"WITH RECURSIVE m AS ({mined('u1', 10, 0.7)}) SELECT rank, '{{' || replace(items, ',', ', ') || '}}' AS itemset, printf('%.2f', eu) AS eu, printf('%.4f', ep) AS ep FROM m"
-    out["topk_sharded_local"] = f"{u1}, m AS ({measured('two')}), s AS (SELECT list_sort(items) AS items, eu, first_rank % 4 AS shard FROM m) SELECT shard, {KEY} AS items, round(eu, 4) + 0e0 AS eu, place FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {ORDER}) AS place FROM s) x WHERE place <= 5"
-    out["shard_counts"] = f"{u1}, m AS ({measured('two')}) SELECT first_rank % 4 AS shard, count(*) AS n, round(min(eu), 4) AS weakest FROM m GROUP BY 1"
+    dealt = f"m AS ({measured('two')}), s AS (SELECT list_sort(items) AS items, eu, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_sort(items)), lambda a, x: (a * {SHARD_BASE} + x) % {SHARD_PRIME}) % 4 AS BIGINT) AS shard FROM m)"
+    out["topk_sharded_local"] = f"{u1}, {dealt} SELECT shard, {KEY} AS items, round(eu, 4) + 0e0 AS eu, place FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {ORDER}) AS place FROM s) x WHERE place <= 5"
+    out["shard_counts"] = f"{u1}, {dealt} SELECT shard, count(*) AS n, round(min(eu), 4) AS weakest FROM s GROUP BY shard"
     out["split_point"] = f"{u1}, r AS (SELECT rank, sum(ptwu) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running, sum(ptwu) OVER () AS total FROM ranks) SELECT min(rank) AS rank FROM r WHERE running >= total / 2"
     out["pattern_order"] = f"WITH v AS (SELECT CAST(string_split(t, ',') AS INTEGER[]) AS items, eu FROM {values(PATTERNS)} v(t, eu)) SELECT row_number() OVER (ORDER BY {ORDER}) AS rank, {KEY} AS items, eu FROM v"
     out["upsert_dedupe"] = f"WITH v AS (SELECT [CAST(len(t) AS INTEGER)] AS items, eu, eu / 10 AS ep FROM {values(PATTERNS)} v(t, eu)) SELECT {KEY} AS items, max(eu) AS eu, max(ep) AS ep FROM v GROUP BY items"
@@ -121,6 +127,14 @@ WHERE regexp_full_match(t, '-?[0-9]+:-?[0-9]+:-?[0-9.]+') AND TRY_CAST(string_sp
     out["bound_pub"] = f"{u1} SELECT count(*) AS violations FROM ({measured('two')}) x JOIN ({measured('one')}) y ON y.first_rank = x.first_rank WHERE x.eu > y.pub + 1e-6"
     out["ep_antimonotone"] = f"{u2} SELECT count(*) AS violations FROM ({measured('two')}) x JOIN ({measured('one')}) y ON y.first_rank = x.first_rank WHERE x.ep > y.ep + 1e-9"
     out["bench_stats"] = f"SELECT config, round(avg(ms), 6) AS mean, round(median(ms), 6) AS median, round(stddev_pop(ms), 6) AS deviation, min(ms) AS fastest, max(ms) AS slowest, round(stddev_pop(ms) / avg(ms) * 100, 6) AS variation FROM {values([(c, float(t)) for c, ts in RUNS for t in ts])} v(config, ms) GROUP BY config"
+    out["text_transactions"] = f"{u1} SELECT CAST(item AS BIGINT) AS item, CAST(qty AS BIGINT) AS qty, round(prob, 9) AS prob FROM occ"
+    out["text_profits"] = f"SELECT CAST(item AS BIGINT) AS item, profit FROM ({rich}) p"
+    out["baskets"] = f"{u1} SELECT 'Transaction{{id=' || tid || ', items=' || count(*) || '}}' AS shown, string_agg(item, ',' ORDER BY item) AS items, CAST(sum(qty) AS BIGINT) AS qty FROM occ GROUP BY tid"
+    out["basket_lookup"] = f"{u1} SELECT tid, CAST(coalesce(max(qty) FILTER (item = 7), 0) AS BIGINT) AS qty, round(coalesce(max(prob) FILTER (item = 7), 0e0), 9) AS prob FROM occ GROUP BY tid"
+    out["item_span"] = f"{u2} SELECT CAST(max(item) AS BIGINT) AS largest, CAST(max(item) + 1 AS BIGINT) AS dense, count(DISTINCT item) AS items FROM occ"
+    out["pattern_text"] = f"SELECT 'Pattern{{items={{' || replace(t, ',', ', ') || '}}, EU=' || printf('%.4f', eu) || ', EP=0.500000}}' AS shown FROM {values(PATTERNS)} v(t, eu)"
+    half = f"[{', '.join(f'{x}e0' for x in STUDENT)}][CAST(count(*) - 1 AS INTEGER)] * stddev_samp(ms) / sqrt(count(*))"
+    out["bench_intervals"] = f"SELECT config, round(avg(ms), 6) AS mean, round(avg(ms) - {half}, 6) AS low, round(avg(ms) + {half}, 6) AS high FROM {values([(c, float(t)) for c, ts in RUNS for t in ts])} v(config, ms) GROUP BY config"
     return out
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import logging
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..model import Params, Search
+from ..model import Join, Params, Search
 from ..operators import topk
 from ..operators.entries import entries, first_level
 from ..operators.extend import extend, measured, prune_ep, prune_ptwu, prune_pub, surviving
@@ -19,6 +20,17 @@ log = logging.getLogger(__name__)
 PATTERNS = "items array<int>, eu double, ep double"
 
 
+def heap_used(spark) -> float:
+    """MB of the driver's heap in use."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    return (runtime.totalMemory() - runtime.freeMemory()) / 1e6
+
+
+def _phase(spark, name: str, began: float) -> None:
+    if log.isEnabledFor(logging.DEBUG):
+        log.debug("%s: %.3f s since the start, %.0f MB of the driver's heap", name, time.perf_counter() - began, heap_used(spark))
+
+
 def _held(spark, rows: list) -> DataFrame:
     return spark.createDataFrame([(list(r["items"]), r["eu"], r["ep"]) for r in rows], PATTERNS)
 
@@ -33,6 +45,7 @@ def level_wise(spark, base: DataFrame, ranks: DataFrame, n_items: int, params: P
     search came to its end before ``depth``.
     """
     rows, best, number = start if start is not None else first_level(base), held or [], 1
+    n_entries = base.count() if params.join is Join.BINARY else None
     while True:
         found = cut(measured(rows))
         batch = topk.admitted(found, params.min_prob, best[-1]["eu"] if len(best) >= params.k else 0.0)
@@ -46,7 +59,7 @@ def level_wise(spark, base: DataFrame, ranks: DataFrame, n_items: int, params: P
         log.debug("level %d: %d alive, threshold %s", number, n, theta)
         if not n or number == depth:
             return best, not n
-        rows, number = cut(extend(surviving(rows, alive, n), base, params.join)), number + 1
+        rows, number = cut(extend(surviving(rows, alive, n), base, params.join, n_entries)), number + 1
 
 
 def prepared(occ: DataFrame, profit: DataFrame, min_prob: float) -> tuple[DataFrame, DataFrame, int]:
@@ -57,21 +70,23 @@ def prepared(occ: DataFrame, profit: DataFrame, min_prob: float) -> tuple[DataFr
     return cut(entries(priced, ranks, n)), ranks, n
 
 
-def mine(occ: DataFrame, profit: DataFrame, k: int, min_prob: float, search: Search | str = Search.BREADTH_FIRST, join: str = "two_pointer", collector: str = "baseline") -> DataFrame:
+def mine(occ: DataFrame, profit: DataFrame, k: int, min_prob: float, search: Search | str = Search.BREADTH_FIRST, join: str = "two_pointer", collector: str | None = None) -> DataFrame:
     """The ``k`` itemsets of highest expected utility whose existential probability reaches ``min_prob``.
 
     ``occ (tid, item, qty, prob)``, ``profit (item, profit)``. Returns ``rank,
     items, size, eu, ep``. Itemsets of negative expected utility are never
     returned, even where fewer than ``k`` are left. All searches, joins and
-    collectors give the same rows. Occurrences with a null field, a quantity of
+    collectors give the same rows; no collector means the one the session names. Occurrences with a null field, a quantity of
     0 or less, a probability outside 0 to 1 or an item without profit don't
     count; empty inputs give an empty result.
     """
-    params = Params(k, min_prob, search, join, collector)
     spark = occ.sparkSession
+    params = Params(k, min_prob, search, join, topk.configured(spark) if collector is None else collector)
+    began = time.perf_counter()
     clean = occ.where("qty > 0 and item >= 0 and prob between 0 and 1 and not isnan(prob) and tid is not null").select("tid", "item", "qty", "prob")
     prices = profit.where("profit is not null and not isnan(profit)").select("item", "profit")
     base, ranks, n = prepared(clean, prices, min_prob)
+    _phase(spark, "statistics, ranking and entries", began)
     if params.search is Search.BREADTH_FIRST:
         best, _ = level_wise(spark, base, ranks, n, params)
     elif params.search is Search.ITERATIVE_DEEPENING:
@@ -81,5 +96,6 @@ def mine(occ: DataFrame, profit: DataFrame, k: int, min_prob: float, search: Sea
             best, ended = level_wise(spark, base, ranks, n, params, held=best, depth=depth)
     else:
         best = prefix_search(spark, base, ranks, n, params, level_wise)
+    _phase(spark, params.search.value, began)
     return topk.ranked(_held(spark, best))
 

@@ -83,6 +83,31 @@ def test_order_of_ties(spark):
     assert rows.select(pattern_text(F.col("items"), F.col("eu"), F.col("ep")).alias("t")).first().t == "Pattern{items={1}, EU=5.0000, EP=1.000000}"
 
 
+def test_large_entries_are_not_broadcast(spark, monkeypatch):
+    from orelode.operators import extend as ext
+    from orelode.operators.entries import entries, first_level
+
+    monkeypatch.setattr(ext, "BROADCAST", 5)
+    rows, profit = case(4)
+    priced = stats.with_profit(spark.createDataFrame(rows, OCC), spark.createDataFrame(list(profit.items()), "item int, profit double"))
+    base = entries(priced, stats.ranking(stats.valid_items(stats.item_stats(priced), 0.0)))
+    plan = ext.extend(first_level(base), base, "binary")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+
+
+def test_collector_of_the_session(spark):
+    rows, profit = case(5)
+    spark.conf.set("spark.orelode.collector", "lazy")
+    try:
+        assert topk.configured(spark).name == "LAZY" and run(spark, rows, profit, 7, 0.0) == brute(rows, profit, 7, 0.0)
+        spark.conf.set("spark.orelode.collector", "none of these")
+        with pytest.raises(ValueError, match="collector"):
+            run(spark, rows, profit, 7, 0.0)
+    finally:
+        spark.conf.unset("spark.orelode.collector")
+    assert topk.configured(spark).name == "BASELINE"
+
+
 def test_joins_by_transaction_are_not_cross_joins(spark):
     from orelode.operators.entries import entries, first_level
     from orelode.operators.extend import extend
