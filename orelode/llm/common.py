@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
 import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_folder
+from ..functions.shipping import ship
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors, once for each application, by Spark's own file server."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    kept = Path(tempfile.gettempdir(), f"{top.name}-{uuid.uuid4().hex[:8]}.zip").absolute()
-    with zipfile.ZipFile(kept, "w") as out:
-        for f in sorted(top.rglob("*.py")):
-            out.write(f, Path(top.name, f.relative_to(top)))
-    sc.addPyFile(str(kept))
-    atexit.register(lambda: kept.unlink(missing_ok=True))
-    _shipped.add(sc.applicationId)
+__all__ = ["cut", "id_text", "read_table", "set_aside", "ship", "slices", "strings", "text_buffer", "written"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,44 +32,23 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a local one only where none is set (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return named or current.get()
-    folder = named or tempfile.mkdtemp(prefix="orelode-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return folder
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files and checkpoints that no plan refers to any more.
-
-    Its cleaner acts when the driver collects garbage, which a driver with
-    little to do may put off until the disks are full.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and read back from the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def set_aside(docs: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``own`` under names that clash with none of an operator's, and what brings the old names back."""
+    names = {c: f"__column_{i}" for i, c in enumerate(docs.columns) if c not in own}
+    return docs.toDF(*[names.get(c, c) for c in docs.columns]), {new: old for old, new in names.items()}
 
 
 def written(df: DataFrame) -> DataFrame:
     """Like ``cut``, as Parquet: smaller than a checkpoint for wide or many rows.
 
-    The folder lies in the shared checkpoint folder under a fresh name; whoever
-    owns that folder clears it, as with checkpoints that outlive their session.
+    The folder lies in the shared checkpoint folder under a fresh name, and
+    goes when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"orelode-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"orelode-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    release(spark)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

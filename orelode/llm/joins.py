@@ -34,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, slices, written
+from .common import cut, id_text, set_aside, slices, written
 from .graph import components
 from .shingles import WORDS, mix, shingle_sets
 
@@ -217,10 +218,9 @@ def overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _index(docs: DataFrame, levels: np.ndarray, percent: int, size: int) -> DataFrame:
-    """A row for each prefix shingle: token, doc, n (set size), l (shared ones asked for), level."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-    shift = np.uint64(64 - (len(levels) - 1).bit_length())
+def _index(docs: DataFrame, shared: Broadcast, wide: int, percent: int, size: int) -> DataFrame:
+    """A row for each prefix shingle: token, doc, n (set size), l (shared ones asked for), level (``shared`` has it by the hash's first ``wide`` bits)."""
+    shift = np.uint64(64 - wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = shared.value
@@ -314,31 +314,28 @@ def group_pairs(doc: np.ndarray, component: np.ndarray, block: np.ndarray, n: np
     """
     names, size = np.unique(component, return_counts=True)
     minor = component != names[size.argmax()]
-    order = np.argsort(n, kind="stable")
-    sorted_n = n[order]
-    rows, others, bounds = [], [], []
-    for x in np.flatnonzero(minor).tolist():
-        low, high = np.searchsorted(sorted_n, [-(-percent * int(n[x]) // 100), 100 * int(n[x]) // percent + 1])
-        y = order[low:high]
-        ok = (component[y] != component[x]) & (~minor[y] | (doc[y] < doc[x]) | best) & ((mask[y] & mask[x]) != 0)
+    outside = np.flatnonzero(minor)
+    rows, others = [], []
+    step = max(1, 200_000 // len(doc))
+    for low in range(0, len(outside), step):
+        x = outside[low : low + step, None]
+        ok = (component != component[x]) & ((mask & mask[x]) != 0) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        if not best:
+            ok &= ~minor | (doc < doc[x])
         if between:
-            ok &= block[y] != block[x]
-        y = y[ok]
-        if not len(y):
-            continue
-        total = n[y] + n[x]
-        common = (total - np.bitwise_count(brief[y] ^ brief[x]).sum(axis=1, dtype=np.int64)) // 2
-        good = 100 * common >= percent * (total - common)
-        y, common, total = y[good], common[good], total[good]
-        if best and len(y):
-            y = y[np.lexsort((doc[y], -common / (total - common)))[:1]]
-        rows.append(np.full(len(y), x))
-        others.append(y)
-        bounds.append(np.minimum(k[y], k[x]))
-    if not rows:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    return np.concatenate(rows), np.concatenate(others), np.concatenate(bounds)
+            ok &= block != block[x]
+        i, y = np.nonzero(ok)
+        i = x[i, 0]
+        total = n[i] + n[y]
+        common = (total - np.bitwise_count(brief[i] ^ brief[y]).sum(axis=1, dtype=np.int64)) // 2
+        good = np.flatnonzero(100 * common >= percent * (total - common))
+        if best and len(good):
+            good = good[np.lexsort((doc[y[good]], -common[good] / (total - common)[good], i[good]))]
+            good = good[np.append(True, i[good][1:] != i[good][:-1])]
+        rows.append(i[good])
+        others.append(y[good])
+    i, y = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (rows, others))
+    return i, y, np.minimum(k[i], k[y])
 
 
 def _across(groups: DataFrame, signs: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame:
@@ -385,12 +382,30 @@ def _across(groups: DataFrame, signs: DataFrame, labels: DataFrame, percent: int
         if held:
             yield from flush()
 
-    pairs = dealt.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high").mapInArrow(run, "a long, b long, l long, c long")
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as the work is more than the bytes tell
+    pairs = dealt.repartition(tasks, "centre", "low", "high").sortWithinPartitions("centre", "low", "high").mapInArrow(run, "a long, b long, l long, c long")
     if best:
         return pairs.select("a", "b").distinct()
     return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("l").alias("l")).where("c >= l").select("a", "b")
 
 
+def _hooked(parents: DataFrame, rounds: int = 2) -> DataFrame:
+    """``node, component`` of a table that hooks each node to a smaller one: its ancestor, 2 ** rounds steps up at most."""
+    for _ in range(rounds):
+        up = parents.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        parents = parents.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return cut(parents)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links``. Nodes of one component are linked somehow, but not all that are need share one: it only saves work."""
+    of = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).where("x != y")
+    hooks = _hooked(ends.groupBy(F.greatest("x", "y").alias("node")).agg(F.min(F.least("x", "y")).alias("component")))
+    above = hooks.select(F.col("node").alias("component"), F.col("component").alias("up"))
+    return cut(labels.join(above, "component", "left").select("node", F.coalesce("up", "component").alias("component")).unionByName(hooks.join(labels.select("node"), "node", "left_anti")))
+
+
 def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sizes of the shingle sets and components of the links.
 
@@ -420,17 +435,18 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
     keyed = texts.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
     for gone in (copies, none):
         keyed = keyed.join(_small(gone.select("doc_id", "text_hash"), gone.count()), ["doc_id", "text_hash"], "left_anti")
-    groups = _groups(_index(keyed.select("doc_id", "text"), levels, percent, size))
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    groups = _groups(_index(keyed.select("doc_id", "text"), shared, (len(levels) - 1).bit_length(), percent, size))
+    shared.destroy()  # the groups are written
 
     # The centre that each document shares most with, where that is about half the prefix that the threshold asks for.
     met = groups.where("doc != centre").where(F.col("k") * 1750 >= (percent * 2 - 100) * F.col("n")).groupBy("doc").agg(F.max(F.struct("k", "centre")).alias("x"))
     links = verified(texts, signs, met.select(F.col("doc").alias("a"), F.col("x.centre").alias("b")), percent, size)
-    tested = None
+    labels = _hooked(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))
     for best in (True, True, False):
-        pairs = cut(_across(groups, signs, components(links), percent, best))
-        fresh = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        links = links.unionByName(verified(texts, signs, fresh, percent, size))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        more = verified(texts, signs, _across(groups, signs, labels, percent, best), percent, size)
+        links = links.unionByName(more)
+        labels = _merged(labels, more) if best else labels
     same_id = members.select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b")).where("a != b")
     labels = components(links.unionByName(same_id))
     tagged = rows.join(classes, ["k1", "k2"], "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -444,13 +460,15 @@ def one_of_each(docs: DataFrame, percent: int = 75, size: int = WORDS) -> DataFr
     Of rows that share an id, the one with the smallest hash of its text stays;
     rows without an id stay. All columns are kept as they are.
     """
+    columns = docs.columns
+    docs, names = set_aside(docs, "doc_id", "text")
     found = cut(likeness_components(docs, percent, size).select("doc_id", "component_id"))
     gone = cut(found.where("doc_id != component_id").select("doc_id").distinct())
     left = docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
     twins = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     n = twins.count()
     if not n:
-        return left
+        return left.withColumnsRenamed(names).select(*columns)
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     first = left.join(_small(twins, n), "doc_id", "left_semi").withColumn("__at", F.row_number().over(order)).where("__at = 1").select(*docs.columns)
-    return left.join(_small(twins, n), "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    return left.join(_small(twins, n), "doc_id", "left_anti").select(*docs.columns).unionByName(first).withColumnsRenamed(names).select(*columns)
