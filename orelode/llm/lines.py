@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, set_aside
 
 #: Windows that hold more than this share of all repeated occurrences are joined by broadcast, 1 / HOT at most.
 HOT = 1e-3
@@ -38,13 +38,16 @@ def drop_repeated(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_c
     Rows equal in id and text are one document and get the same result; among
     other rows of one id the hash of the text decides which comes first. A null
     id comes before all others. Columns of the input named like the three new
-    ones are replaced. An empty table gives an empty result.
+    ones are replaced, all others stay as they are. An empty table gives an
+    empty result.
 
     A window hash with a large share of all occurrences is joined by broadcast
     (there are 1 / HOT of them at most), the others by a shuffle, so that no
     task gets a hot key's rows. The first occurrence comes from a map-side
     combined minimum.
     """
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_spans")]
+    docs, names = set_aside(docs.select(*columns), id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = [F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__hash")]
     many = docs.where(F.size(F.split(text, "\n", -1)) >= size)
@@ -57,7 +60,7 @@ def drop_repeated(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_c
     later = found.join(F.broadcast(hot), ["__a", "__b"]).unionByName(found.join(cold, ["__a", "__b"])).where(~place.eqNullSafe(F.col("__first")))
     covered = later.groupBy("__id", "__hash").agg(F.collect_set("__at").alias("__starts"))
     # The lines are split below the join, so that above it they are a plain column.
-    left = docs.drop("n_lines", "n_removed", "n_spans").withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(text), "__lines": F.split(text, "\n", -1)}).drop(text_col).alias("l")
+    left = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(text), "__lines": F.split(text, "\n", -1)}).drop(text_col).alias("l")
     right = covered.select(F.col("__id").alias("__rid"), F.col("__hash").alias("__rhash"), "__starts")
     joined = left.join(right, F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__hash") == F.col("__rhash")), "left")
     marked = joined.withColumn("__gone", F.when(F.col("__starts").isNull(), F.array().cast("array<int>")).otherwise(F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (size - 1)))))))
@@ -70,4 +73,4 @@ def drop_repeated(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_c
             text_col: F.array_join(F.when(F.size("__gone") == 0, F.col("__lines")).otherwise(F.transform(kept, lambda i: F.get("__lines", i))), "\n"),
         }
     )
-    return out.select(*[F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_spans")], "n_lines", "n_removed", "n_spans")
+    return out.select(*docs.columns, "n_lines", "n_removed", "n_spans").withColumnsRenamed(names)

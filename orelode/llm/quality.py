@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import id_text, strings
+from .common import id_text, set_aside, strings
 
 DIM = 1 << 14
 REPEAT = 0  # the bucket of words that repeat the one before
@@ -79,42 +79,66 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+@dataclass(frozen=True)
+class _Rated:
+    """Sparse rows and their grades; each grade weighs the same in sum, whatever its share."""
+
+    cols: np.ndarray
+    vals: np.ndarray
+    row: np.ndarray
+    grades: np.ndarray
+    weight: np.ndarray
+
+
+def _rated(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> _Rated:
+    grades = np.array([r[2] for r in rows], np.int64)
+    share = np.bincount(grades)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    return _Rated(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), row, grades, 1 / (share[grades] * (share > 0).sum()))
+
+
+def _thresholds(base: float, gaps: np.ndarray) -> np.ndarray:
+    """A base plus the running sum of positive gaps, so they stay in order."""
+    return base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+
+
+def _likelihood(data: _Rated, w: np.ndarray, base: float, gaps: np.ndarray, shrink: float) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """The shrunk negative log-likelihood and its gradient by weights, base and gaps."""
+    grades, top = data.grades, len(gaps) + 1
+    z = np.bincount(data.row, weights=data.vals * w[data.cols], minlength=len(grades))
+    cut = np.concatenate([[-np.inf], _thresholds(base, gaps), [np.inf]])
+    hi, lo = 1 / (1 + np.exp(-np.clip(z - cut[grades], -40, 40))), 1 / (1 + np.exp(-np.clip(z - cut[grades + 1], -40, 40)))
+    hi, lo = np.where(grades == 0, 1.0, hi), np.where(grades == top, 0.0, lo)
+    p = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = data.weight * hi * (1 - hi) / p, data.weight * lo * (1 - lo) / p  # of log p by the two cuts
+    gb = np.bincount(grades[grades > 0] - 1, weights=dhi[grades > 0], minlength=top) - np.bincount(grades[grades < top], weights=dlo[grades < top], minlength=top)
+    gw = np.bincount(data.cols, weights=data.vals * (dlo - dhi)[data.row], minlength=len(w)) + shrink * w
+    loss = -float((data.weight * np.log(p)).sum()) + shrink / 2 * float(w @ w)
+    return loss, gw, float(gb.sum()), np.cumsum(gb[::-1])[::-1][1:] * np.exp(gaps)
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, rate: float = 0.3, shrink: float = 1e-4) -> Ordinal:
     """Maximum likelihood of the cumulative-link model, by Adam on all rows (buckets, values, grade).
 
-    The thresholds are a base plus the running sum of positive gaps, so they
-    stay in order. Grades weigh the same in sum, whatever their shares.
     With no rows, or a single grade, the model has the one tail probability
     1/2 for everything.
     """
-    grades = np.array([r[2] for r in rows], np.int64)
-    top = int(grades.max()) if len(rows) else 0
-    if not len(rows) or len(set(grades.tolist())) < 2:
+    grades = [r[2] for r in rows]
+    top = max(grades, default=0)
+    if len(set(grades)) < 2:
         return Ordinal(np.zeros(DIM), np.zeros(max(1, top)))
-    cols, vals = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-    share = np.bincount(grades, minlength=top + 1)
-    weight = 1 / (share[grades] * (share > 0).sum())
-    w, base, gaps = np.zeros(DIM), -1.0, np.zeros(max(0, top - 1))
+    data = _rated(rows)
+    w, base, gaps = np.zeros(DIM), -1.0, np.zeros(top - 1)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, np.zeros(1), gaps)]
     for step in range(1, steps + 1):
-        z = np.bincount(row, weights=vals * w[cols], minlength=len(rows))
-        b = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        cut = np.concatenate([[-np.inf], b, [np.inf]])
-        hi, lo = 1 / (1 + np.exp(-np.clip(z - cut[grades], -40, 40))), 1 / (1 + np.exp(-np.clip(z - cut[grades + 1], -40, 40)))
-        hi, lo = np.where(grades == 0, 1.0, hi), np.where(grades == top, 0.0, lo)
-        p = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p  # of log p by the two cuts
-        gz = -weight * (dhi - dlo)
-        gb = np.bincount(grades[grades > 0] - 1, weights=(weight * dhi)[grades > 0], minlength=top) - np.bincount(grades[grades < top], weights=(weight * dlo)[grades < top], minlength=top)
-        grads = [np.bincount(cols, weights=vals * gz[row], minlength=DIM) + shrink * w, np.array([gb.sum()]), np.cumsum(gb[::-1])[::-1][1:] * np.exp(gaps)]
+        _, gw, gb, gg = _likelihood(data, w, base, gaps, shrink)
         moved = []
-        for (m, v), g in zip(state, grads, strict=True):
+        for (m, v), g in zip(state, (gw, np.array([gb]), gg), strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             moved.append(rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9))
         w, base, gaps = w - moved[0], base - float(moved[1][0]), gaps - moved[2]
-    return Ordinal(w, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
+    return Ordinal(w, _thresholds(base, gaps))
 
 
 def rated_sample(docs: DataFrame, ratings: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -150,7 +174,7 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 
     Returns ``doc_id, expected_grade, tails array<double>`` (tails[k - 1] is
     P(grade >= k)), a row for each input row; with ``keep`` these two columns
-    are added to all input columns instead. Null and empty texts score as a
+    are added to all input columns instead, or replace those so named. Null and empty texts score as a
     text without words. There is no shuffle; the model is broadcast, its size
     is fixed.
     """
@@ -167,8 +191,8 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*kept, pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array([t.tolist() for t in tails], pa.list_(pa.float64()))], names=[*(names if keep else names[:1]), "expected_grade", "tails"])
 
     if keep:
-        rest = docs.drop("expected_grade", "tails")
-        return rest.mapInArrow(rows, StructType([*rest.schema.fields, StructField("expected_grade", DoubleType()), StructField("tails", ArrayType(DoubleType()))]))
+        rest, names = set_aside(docs.drop("expected_grade", "tails"), id_col, text_col)
+        return rest.mapInArrow(rows, StructType([*rest.schema.fields, StructField("expected_grade", DoubleType()), StructField("tails", ArrayType(DoubleType()))])).withColumnsRenamed(names)
     return id_text(docs, id_col, text_col).mapInArrow(rows, "doc_id long, expected_grade double, tails array<double>")
 
 
