@@ -6,7 +6,8 @@ writes down the word and moves on if its bit is 1 (CGK), so that few edits of
 the window leave few differing steps. A repetition has bits of its own and a
 few sampled steps; windows and benchmark items that agree in all of them are
 candidates. Items are searched by classes of like length, each with windows of
-its own and steps sampled over whole items. Repetitions are added until edited
+the words of its shortest item and steps sampled over all of them; longer items
+of the class are walked as far. Repetitions are added until edited
 copies of a class's items reach the target recall; a class that doesn't reach
 it is searched without loss, by the rarest word pairs of its items. Candidates are decided by the exact edit distance in words: up
 to ``1 - similarity`` of the item's words.
@@ -37,8 +38,8 @@ from .shingles import mix, runs, words
 
 #: Items of fewer words must occur as they are.
 SHORT = 5
-#: Items of one pass; a larger benchmark takes several passes over the documents.
-BLOCK = 50_000
+#: Items of one pass, and bytes of their texts, on average; a larger benchmark takes several passes over the documents.
+BLOCK, BYTES = 50_000, 16 << 20
 STEPS_A_WORD, SAMPLED, MOST_REPETITIONS = 2, 2, 64
 #: Longest item of a length class by its shortest; simulated copies of a class and kind at least.
 SPREAD, COPIES = 1.25, 300
@@ -134,6 +135,7 @@ class Lengths:
     pairs: np.ndarray  # filter of the items' word pairs
     dense: list[tuple[int, int]]  # by length of item: words of its longest occurrence, word pairs that any has
     repetitions: list[tuple] = field(default_factory=list)  # seed, sampled steps, keys after each, full key -> items
+    window: int = 0  # words that a walk sees: those of the class's shortest item
     rare: tuple[np.ndarray, np.ndarray] | None = None  # word pairs, ascending, and their items, where the search is exact
 
 
@@ -254,13 +256,14 @@ def _lengths(members: list[int], texts: list[np.ndarray], most: list[int], recal
     out = Lengths(members, pairs, sorted({(len(texts[i]) + most[i], max(1, len(texts[i]) - 1 - 2 * most[i])) for i in members}))
     rounds = -(-COPIES // len(members))
     shortest, longest = len(texts[members[0]]), len(texts[members[-1]])
+    out.window = shortest
     around = lambda n: [r.getrandbits(64) for _ in range(n)]
     copies = [(i, np.array(around(longest) + _edited(texts[i].tolist(), most[i], kind, r) + around(STEPS_A_WORD * longest), np.uint64)) for kind in range(3) for i in members for _ in range(rounds)]
     each = len(copies) // 3
     missed = list(range(len(copies)))
     while missed and len(out.repetitions) < MOST_REPETITIONS and max(np.bincount(np.array(missed) // each)) > (1 - recall) * each:
         sampled = sorted(r.sample(range(STEPS_A_WORD * shortest), SAMPLED))
-        one = _repetition([texts[i] for i in members], r.getrandbits(63), sampled)
+        one = _repetition([texts[i][:shortest] for i in members], r.getrandbits(63), sampled)
         out.repetitions.append((*one[:3], {k: [members[j] for j in v] for k, v in one[3].items()}))
         stops = np.cumsum([len(copies[c][1]) for c in missed])
         flat = np.concatenate([copies[c][1] for c in missed])
@@ -271,7 +274,7 @@ def _lengths(members: list[int], texts: list[np.ndarray], most: list[int], recal
         here = np.abs(starts - true[place]) <= np.array([most[copies[c][0]] for c in missed])[place]  # the others don't lead to the whole copy
         starts, place = starts[here], place[here]
         at = dict(zip(starts.tolist(), place.tolist(), strict=True))
-        hit = {(at[start], i) for start, i in candidates(flat, starts, stops[place], out.repetitions[-1:])}
+        hit = {(at[start], i) for start, i in candidates(flat, starts, np.minimum(starts + shortest, stops[place]), out.repetitions[-1:])}
         missed = [c for k, c in enumerate(missed) if (k, copies[c][0]) not in hit]
     if missed and max(np.bincount(np.array(missed) // each)) > (1 - recall) * each:
         out.repetitions, out.rare = [], _rarest(members, texts, most)
@@ -297,6 +300,8 @@ def prepare(rows: list[tuple[int, str]], similarity: float = 0.75, recall: float
     their item at a start that the search looks at. A class that doesn't get
     there in MOST_REPETITIONS is searched exactly.
     """
+    if not 0.7 <= similarity <= 1:
+        raise ValueError(f"similarity must lie between 0.7 and 1, not {similarity}: below, an occurrence need not keep a word pair")
     column = pa.array([t or "" for _, t in rows], pa.string())
     _, _, _, hashes, first = word_hashes(column)
     texts = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -354,7 +359,7 @@ def _class_leaks(hashes: np.ndarray, first: np.ndarray, pairs: np.ndarray, near:
     if not len(starts):
         return []
     rows = np.searchsorted(first, starts, side="right") - 1
-    found = sorted(candidates(hashes, starts, first[rows + 1], lengths.repetitions))
+    found = sorted(candidates(hashes, starts, np.minimum(starts + lengths.window, first[rows + 1]), lengths.repetitions))
     spans = ((i, start - tables.most[i], start + len(tables.items[i]) + 2 * tables.most[i]) for start, i in found)
     return _settled(hashes, first, pairs, np.array([x[0] for x in found], np.int64), spans, tables)
 
@@ -395,11 +400,13 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, recall
     nowhere; items of fewer than SHORT words must occur word by word. Null and
     empty texts hold nothing. Repeated documents each give their rows; equal
     items too. Other columns are ignored. The benchmark is read in blocks of
-    BLOCK items, each a broadcast of bounded size; documents aren't shuffled.
+    about BLOCK items or BYTES, each a broadcast of bounded size; documents aren't
+    shuffled. ``similarity`` lies between 0.7 and 1.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = max(1, -(-items.count() // BLOCK))
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-n // BLOCK), -(-(size or 0) // BYTES))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     names = ["doc_id", "item_id", "start", "end", "distance", "n_words"]
     schema = "doc_id long, item_id long, start long, end long, distance int, n_words int"

@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 from conftest import HARD
 
 from orelode.llm import leaks
@@ -140,6 +141,19 @@ def test_a_class_beyond_the_repetitions_is_searched_exactly(table, spark, monkey
     assert recall(table, spark, [40] * 30 + [120] * 5, ["head", "block", "all over"]) == 1
 
 
+def test_items_of_mixed_lengths_in_longer_text(table, spark):
+    r = random.Random(9)
+    assert recall(table, spark, [r.randint(10, 75) for _ in range(50)], ["all over", "head", "block"], 5, 400) >= 0.97
+    assert recall(table, spark, [60] * 20, ["all over"], 6, 400) >= 0.97
+
+
+def test_similarity_is_validated(table, spark):
+    bench = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
+    for wrong in (0.5, 1.2):
+        with pytest.raises(ValueError, match="similarity"):
+            leaks.find(table([(1, "x")]), bench, similarity=wrong)
+
+
 def test_closest_occurrences():
     r = random.Random(8)
     for _ in range(400):
