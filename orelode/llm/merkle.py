@@ -8,7 +8,8 @@ sections' nodes. Under the paragraphs lie leaves of up to ``WORDS`` words each,
 by a 32-bit hash, which measure likeness.
 
 Equal roots mean equal texts; where roots differ, only sections and then
-paragraphs that differ need to be looked at.
+paragraphs that differ need to be looked at. A fingerprint grows with its text:
+16 digits for each paragraph and section, 8 for each leaf.
 """
 
 from __future__ import annotations
@@ -46,23 +47,76 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a["root"] == b["root"], F.lit(1.0)).when(sizes == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(a["leaves"], b["leaves"])) / sizes)
 
 
-def edits(a: Column, b: Column) -> Column:
-    """Where two trees differ: array of positions (from 0) of the paragraphs of ``a`` that ``b`` lacks; empty for equal roots.
+def _numbered(rows: DataFrame, **nodes: Column) -> DataFrame:
+    """Each array of nodes (column ``name``) as ``name``: array<struct<node, nth, at>>, ordered; ``nth`` counts equal nodes by position.
 
-    A paragraph that ``a`` has more often than ``b`` counts at each of its
-    places beyond as many as ``b`` has, the last ones. ``edits(b, a)`` has the
-    paragraphs that were deleted. Moved paragraphs don't count.
+    Nothing in an array's function looks at a whole array, and each step is a
+    column of its own, so the work is a sort's.
     """
-    none = F.array().cast("array<int>")
-    mine, other = a["paragraphs"], b["paragraphs"]
-    new = F.array_except(mine, other)
-    # Paragraphs that both have are only counted where one occurs repeatedly.
-    often = F.array_intersect(F.filter(F.array_distinct(mine), lambda p: F.size(mine) - F.size(F.array_remove(mine, p)) > F.size(other) - F.size(F.array_remove(other, p))), other)
-    more = F.when(F.size(F.array_distinct(mine)) == F.size(mine), F.array().cast("array<string>")).otherwise(often)
-    places = lambda p: F.filter(F.transform(mine, lambda x, i: F.when(x == p, i)), lambda i: i.isNotNull())
-    beyond = F.flatten(F.transform(more, lambda p: F.slice(places(p), F.size(other) - F.size(F.array_remove(other, p)) + 1, F.size(mine))))
-    first = F.filter(F.transform(mine, lambda x, i: F.when(F.array_contains(new, x), i)), lambda i: i.isNotNull())
-    return F.when(a["root"] == b["root"], none).otherwise(F.array_sort(F.concat(first, beyond)))
+    rows = rows.withColumns({f"__{k}": F.array_sort(F.transform(x, lambda v, i: F.struct(v.alias("node"), i.alias("at")))) for k, x in nodes.items()})
+    before = lambda k: F.concat(F.array(F.lit(None).cast("struct<node:string,at:int>")), F.col(f"__{k}"))
+    fresh = lambda z, i: F.when(z["s"].isNotNull() & (z["p"].isNull() | (z["p"]["node"] != z["s"]["node"])), i)
+    rows = rows.withColumns({f"__{k}_first": F.filter(F.transform(F.arrays_zip(F.col(f"__{k}").alias("s"), before(k).alias("p")), fresh), lambda i: i.isNotNull()) for k in nodes})
+    last = lambda k: F.concat(F.slice(F.col(f"__{k}_first"), 2, F.greatest(F.size(f"__{k}"), F.lit(1))), F.array(F.size(f"__{k}")))
+    rows = rows.withColumns({f"__{k}_nth": F.flatten(F.transform(F.arrays_zip(F.col(f"__{k}_first").alias("a"), last(k).alias("b")), lambda z: F.sequence(F.lit(0), z["b"] - z["a"] - 1))) for k in nodes})
+    rows = rows.withColumns({k: F.transform(F.arrays_zip(F.col(f"__{k}").alias("s"), F.col(f"__{k}_nth").alias("n")), lambda z: F.struct(z["s"]["node"].alias("node"), z["n"].alias("nth"), z["s"]["at"].alias("at"))) for k in nodes})
+    return rows.drop(*[f"__{k}{x}" for k in nodes for x in ("", "_first", "_nth")])
+
+
+def _matched(rows: DataFrame, x: Column, y: Column, left: str, right: str) -> DataFrame:
+    """Adds ``left`` and ``right``: array<struct<at, other>> for each node of ``x`` and ``y`` by position.
+
+    The n-th of equal nodes of one side matches the n-th of the other; ``other``
+    is its position, null for none.
+    """
+    rows = _numbered(rows, __x=x, __y=y)
+    side = lambda c, n: F.transform(F.col(c), lambda v: F.struct(v["node"].alias("node"), v["nth"].alias("nth"), F.lit(n).alias("side"), v["at"].alias("at")))
+    rows = rows.withColumn("__t", F.array_sort(F.concat(side("__x", 0), side("__y", 1))))
+    none = F.array(F.lit(None).cast("struct<node:string,nth:int,side:int,at:int>"))
+    zipped = F.arrays_zip(F.col("__t").alias("t"), F.concat(none, F.col("__t")).alias("p"), F.concat(F.slice("__t", 2, F.greatest(F.size("__t"), F.lit(1))), none).alias("q"))
+    same = lambda u, v: (u["node"] == v["node"]) & (u["nth"] == v["nth"])
+    met = lambda z: F.struct(z["t"]["side"].alias("side"), z["t"]["at"].alias("at"), F.when(same(z["t"], z["p"]), z["p"]["at"]).when(same(z["t"], z["q"]), z["q"]["at"]).alias("other"))
+    rows = rows.withColumn("__met", F.transform(zipped, met))
+    own = lambda n: F.array_sort(F.transform(F.filter("__met", lambda m: m["side"] == n), lambda m: F.struct(m["at"].alias("at"), m["other"].alias("other"))))
+    return rows.withColumns({left: own(0), right: own(1)}).drop("__x", "__y", "__t", "__met")
+
+
+def edits(rows: DataFrame, a: str, b: str, name: str = "edits") -> DataFrame:
+    """Adds where tree ``a`` differs from tree ``b``: ``name`` struct<new, gone, moved>, all empty for equal roots only.
+
+    ``new`` has the positions (from 0) of the paragraphs of ``a`` that ``b``
+    lacks, ``gone`` those of ``b`` that ``a`` lacks; a paragraph that one has
+    more often counts at its last places outside of sections that both have. ``moved`` has the positions in ``a``
+    of paragraphs that both have, but where ``b`` has them before the one they
+    follow in ``a`` (for a whole section its first). A null tree has no edits.
+
+    The trees are compared from the top: sections that both have stand for
+    themselves, and only the paragraphs of the others are looked at. Linear in
+    the nodes but for sorts.
+    """
+    out = rows.columns
+    none = F.array().cast("array<string>")
+    differ = ~F.col(a)["root"].eqNullSafe(F.col(b)["root"])
+    part = lambda c, f: F.when(differ, F.coalesce(F.col(c)[f], none)).otherwise(none)
+    rows = rows.withColumns({f"__{k}{f}": part(c, f) for k, c in (("a", a), ("b", b)) for f in ("sections", "paragraphs")})
+    rows = _matched(rows, F.col("__asections"), F.col("__bsections"), "__ashared", "__bshared")
+    for k in "ab":
+        nodes = F.col(f"__{k}paragraphs")
+        # A section ends after each paragraph whose node says so, and with the text.
+        ends = F.filter(F.transform(F.slice(nodes, 1, F.greatest(F.size(nodes) - 1, F.lit(0))), lambda x, i: F.when(F.right(x, F.lit(1)).isin(*"0123"), i + 1)), lambda i: i.isNotNull())
+        rows = rows.withColumn(f"__{k}ends", F.when(F.size(nodes) > 0, F.concat(ends, F.array(F.size(nodes)))).otherwise(F.array().cast("array<int>")))
+        rows = rows.withColumn(f"__{k}starts", F.concat(F.array(F.lit(0)), F.slice(f"__{k}ends", 1, F.greatest(F.size(f"__{k}ends") - 1, F.lit(0)))))
+        zipped = F.arrays_zip(F.col(f"__{k}sections").alias("node"), F.col(f"__{k}shared").alias("m"), F.col(f"__{k}starts").alias("x"), F.col(f"__{k}ends").alias("y"))
+        rows = rows.withColumn(f"__{k}zip", F.filter(zipped, lambda z: z["node"].isNotNull()))
+        below = lambda z, k=k: F.transform(F.slice(F.col(f"__{k}paragraphs"), z["x"] + 1, z["y"] - z["x"]), lambda p, i: F.struct(p.alias("node"), (z["x"] + i).alias("at")))
+        rows = rows.withColumn(f"__{k}mixed", F.flatten(F.transform(f"__{k}zip", lambda z: F.when(z["m"]["other"].isNotNull(), F.array(F.struct(z["node"].alias("node"), z["x"].alias("at")))).otherwise(below(z)))))
+    rows = _matched(rows, F.col("__amixed")["node"], F.col("__bmixed")["node"], "__a", "__b")
+    lone = lambda k: F.transform(F.filter(F.arrays_zip(F.col(f"__{k}mixed").alias("n"), F.col(f"__{k}").alias("m")), lambda z: z["m"]["other"].isNull()), lambda z: z["n"]["at"])
+    rows = rows.withColumn("__both", F.filter(F.arrays_zip(F.col("__amixed").alias("n"), F.col("__a").alias("m")), lambda z: z["m"]["other"].isNotNull()))
+    rows = rows.withColumn("__order", F.transform("__both", lambda z: z["m"]["other"]))
+    back = lambda z: F.when(z["n"].isNotNull() & (z["n"]["m"]["other"] < z["p"]), z["n"]["n"]["at"])
+    moved = F.filter(F.transform(F.arrays_zip(F.col("__both").alias("n"), F.concat(F.array(F.lit(None).cast("int")), F.col("__order")).alias("p")), back), lambda i: i.isNotNull())
+    return rows.withColumn(name, F.struct(lone("a").alias("new"), lone("b").alias("gone"), moved.alias("moved"))).select(*[F.col(c) for c in out if c != name], name)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

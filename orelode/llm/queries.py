@@ -20,7 +20,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), size - F.floor(size / 3).cast("int")), F.col("next_text").substr(F.lit(1), F.floor(size / 3).cast("int")))
     rows = near.withColumn("edited", edited).withColumn("edited_tree", merkle.tree(F.col("edited")))
-    return rows.select(
+    return merkle.edits(rows, "edited_tree", "tree").select(
         "doc_id",
         size.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -28,7 +28,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.fingerprint(F.col("edited_tree")).alias("edited_fingerprint"),
         merkle.likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
         merkle.likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
-        F.size(merkle.edits(F.col("edited_tree"), F.col("tree"))).cast("long").alias("n_edited_paragraphs"),
+        F.size("edits.new").cast("long").alias("n_edited_paragraphs"),
     )
 
 
@@ -60,14 +60,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id"):
-    """The rows whose labels are never learned from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """The rows whose labels are never learned from; a null id is no such row, and has no label."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    rows = toxicity.labelled_sample(docs, read_table(spark, sf_dir, "labels").where(~held_out()), most=4000)
-    scored = toxicity.score(docs, toxicity.learn(rows))
+    sample = toxicity.labelled_sample(docs, read_table(spark, sf_dir, "labels").where(~held_out()), most=4000)
+    scored = toxicity.score(docs, toxicity.learn(sample))
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

@@ -40,10 +40,10 @@ BITS = 23
 HOT, PARTS = 2000, 64
 #: Bytes of one suffix sort, and distinct segments of a minimizer that one sort takes.
 SORT, MOST = 1 << 20, 20_000
-#: Span ends that are broadcast at most.
-BROADCAST = 4_000_000
-#: Rows of one id with different texts follow each other at this distance.
-TWIN = 1 << 40
+#: Numbers of a table that is broadcast at most: span ends, or two for a document's key.
+BROADCAST = 1_000_000
+#: Rows of one id with different texts follow each other at this distance; no string of Spark's is longer.
+TWIN = 1 << 31
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -272,14 +272,18 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for batch in batches:
                 for doc, a, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     raw = np.frombuffer(content, np.uint8)
-                    sums, n = _hash_sums(raw), len(raw) - width + 1
-                    h = mix((sums[width:] - sums[:-width]) * powers(_INVERSE, n))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, doc)), pa.array(a + np.arange(n))], names=["c", "doc", "a"])
-
-        single = contents.where(F.col("k") > MOST).select("doc", "a", "content").mapInArrow(windows, "c long, doc long, a long")
-        dealt = written(_ranked(single, ["c"], F.lit(True)))
+                    n = len(raw) - width + 1
+                    keys = []
+                    for spread in (np.arange(256, dtype=np.uint64), mix(np.arange(256, dtype=np.uint64))):
+                        sums = np.zeros(len(raw) + 1, np.uint64)
+                        np.cumsum((spread[raw] + np.uint64(1)) * powers(_BASE, len(raw)), out=sums[1:])
+                        keys.append(mix((sums[width:] - sums[:-width]) * powers(_INVERSE, n)).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(np.full(n, doc)), pa.array(a + np.arange(n))], names=["c", "e", "doc", "a"])
+
+        single = contents.where(F.col("k") > MOST).select("doc", "a", "content").mapInArrow(windows, "c long, e long, doc long, a long")
+        dealt = written(_ranked(single, ["c", "e"], F.lit(True)))
         heads = dealt.where("not later")
-        behind = heads.join(heads.groupBy("c").agg(F.min(F.struct("doc", "a")).alias("x")), "c").where("(doc, a) > (x.doc, x.a)").select("doc", "a")
+        behind = heads.join(heads.groupBy("c", "e").agg(F.min(F.struct("doc", "a")).alias("x")), ["c", "e"]).where("(doc, a) > (x.doc, x.a)").select("doc", "a")
         spans = spans.unionByName(dealt.where("later").select("doc", "a").unionByName(behind).select("doc", F.col("a").alias("low"), (F.col("a") + width).alias("high")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +300,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("all")).mapInArrow(merge, "doc long, spans array<long>")
 
 
+def _placed(twins: DataFrame) -> DataFrame:
+    """``key, h1, base``: the texts of each key by their hash, TWIN apart. A key may have any share of the rows: its hashes are ranked by ranges."""
+    dealt = twins.withColumn("range", F.shiftright("h1", 52))
+    sizes = dealt.groupBy("key", "range").agg(F.count("*").alias("n"))
+    before = sizes.select("key", "range", (F.sum("n").over(Window.partitionBy("key").orderBy("range")) - F.col("n")).alias("before"))  # 4096 rows a key at most
+    inner = F.row_number().over(Window.partitionBy("key", "range").orderBy("h1")) - 1
+    return dealt.withColumn("nth", inner).join(before, ["key", "range"]).select("key", "h1", ((F.col("before") + F.col("nth")) * TWIN).cast("long").alias("base"))
+
+
 def drop_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Whole texts, as UTF-8 bytes, less every byte that a repeated string of ``width`` bytes covers.
 
@@ -315,13 +328,13 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     twins = slim.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x != y").select("key")
     base = F.lit(0).cast("long")
     if not twins.isEmpty():
-        order = written(slim.join(twins, "key").select("key", "h1").distinct().withColumn("base", (F.row_number().over(Window.partitionBy("key").orderBy("h1")) - 1).cast("long") * TWIN))
+        order = written(_placed(slim.join(twins, "key").select("key", "h1").distinct()))
         texts, slim = (x.join(order, ["key", "h1"], "left").withColumn("base", F.coalesce("base", base)) for x in (texts, slim))
     else:
         texts, slim = texts.withColumn("base", base), slim.withColumn("base", base)
     same = slim.where(F.col("n") >= width).groupBy("h1", "h2", "n").agg(F.min(F.struct("key", "base")).alias("x"), F.max(F.struct("key", "base")).alias("y")).where("x != y").select("h1", "h2", "n", "x")
     copies = written(slim.join(same, ["h1", "h2", "n"]).where("(key, base) > (x.key, x.base)").select("key", "base", F.col("n").cast("long").alias("n")).distinct())
-    few = lambda df, n: F.broadcast(df) if n <= BROADCAST // 8 else df
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST // 2 else df
     judged = texts.join(few(copies.select("key", "base"), copies.count()), ["key", "base"], "left_anti").where(F.col("n") >= width)
     found = written(repeated_spans(judged.select(F.col("key").alias("doc_id"), "base", "text"), width))
     whole = copies.select(F.col("key").alias("doc"), F.array(F.col("base"), F.col("base") + F.col("n")).alias("spans"))
