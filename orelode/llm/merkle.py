@@ -58,7 +58,7 @@ def _numbered(rows: DataFrame, **nodes: Column) -> DataFrame:
     fresh = lambda z, i: F.when(z["s"].isNotNull() & (z["p"].isNull() | (z["p"]["node"] != z["s"]["node"])), i)
     rows = rows.withColumns({f"__{k}_first": F.filter(F.transform(F.arrays_zip(F.col(f"__{k}").alias("s"), before(k).alias("p")), fresh), lambda i: i.isNotNull()) for k in nodes})
     last = lambda k: F.concat(F.slice(F.col(f"__{k}_first"), 2, F.greatest(F.size(f"__{k}"), F.lit(1))), F.array(F.size(f"__{k}")))
-    rows = rows.withColumns({f"__{k}_nth": F.flatten(F.transform(F.arrays_zip(F.col(f"__{k}_first").alias("a"), last(k).alias("b")), lambda z: F.sequence(F.lit(0), z["b"] - z["a"] - 1))) for k in nodes})
+    rows = rows.withColumns({f"__{k}_nth": F.flatten(F.transform(F.filter(F.arrays_zip(F.col(f"__{k}_first").alias("a"), last(k).alias("b")), lambda z: z["a"].isNotNull()), lambda z: F.sequence(F.lit(0), z["b"] - z["a"] - 1))) for k in nodes})
     rows = rows.withColumns({k: F.transform(F.arrays_zip(F.col(f"__{k}").alias("s"), F.col(f"__{k}_nth").alias("n")), lambda z: F.struct(z["s"]["node"].alias("node"), z["n"].alias("nth"), z["s"]["at"].alias("at"))) for k in nodes})
     return rows.drop(*[f"__{k}{x}" for k in nodes for x in ("", "_first", "_nth")])
 
