@@ -201,10 +201,10 @@ def learn(sample: DataFrame, least: int = 3, floor: float = 2.5, own: dict[str,
 
     def counted(of) -> DataFrame:
         found = texts.select("text", "toxic").mapInArrow(held(of), "entry string, toxic int")
-        return found.groupBy("entry").agg(F.count_if("toxic = 1").alias("c"), F.count_if("toxic = 0").alias("k"))
+        return found.groupBy("entry").agg(F.count_if(F.col("toxic") == 1).alias("c"), F.count_if(F.col("toxic") == 0).alias("k"))
 
     texts = written(sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(folded, "text string, n long, toxic int"))
-    n1, n0 = texts.agg(F.count_if("toxic = 1"), F.count_if("toxic = 0")).first()
+    n1, n0 = texts.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     entries: dict[str, float] = {}
     if n1 and n0:
         odds = F.log((F.col("c") + 0.5) / (n1 + 1)) - F.log((F.col("k") + 0.5) / (n0 + 1))
