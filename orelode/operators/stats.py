@@ -54,8 +54,9 @@ def _finish(sums: DataFrame) -> DataFrame:
 
 
 def item_stats(priced: DataFrame) -> DataFrame:
-    """``item, ptwu, ep, eu, support``: one window by transaction, one aggregation by item."""
-    return _finish(with_ptu(priced).groupBy("item").agg(*_sums()))
+    """``item, ptwu, ep, eu, support``: one window by transaction (unless ``priced`` has ``ptu`` already), one aggregation by item."""
+    rows = priced if "ptu" in priced.columns else with_ptu(priced)
+    return _finish(rows.groupBy("item").agg(*_sums()))
 
 
 def item_stats_merged(priced: DataFrame, parts: int = 8) -> DataFrame:

@@ -14,9 +14,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.shipping import ship
 from ..model import EPSILON, LOG_ZERO, Params, Search
 from ..operators import topk
@@ -107,10 +108,15 @@ def prefix_search(spark, base: DataFrame, ranks: DataFrame, n: int, params: Para
     singles = item_lists(base).select(F.array("item").alias("items"), "eu", "ep", "pub")
     best = topk.exact(topk.admitted(singles, params.min_prob), params.k).collect()
     theta = best[-1]["eu"] if len(best) >= params.k else 0.0
-    heads = small(ranks.where(F.col("ptwu") >= theta - EPSILON).select(F.col("rank").alias("prefix"), "ptwu"), n)
+    # No extension of an item has more utility than its upper bounds.
+    able = singles.where(F.col("pub") >= theta - EPSILON).select(F.get("items", F.lit(0)).alias("item"))
+    heads = small(cut(ranks.where(F.col("ptwu") >= theta - EPSILON).join(small(able, n), "item", "left_semi").select(F.col("rank").alias("prefix"), "ptwu")), n)
     left = base.select(F.col("tid").alias("l_tid"), F.col("rank").alias("prefix")).join(heads, "prefix")
     rows = left.join(base, (F.col("l_tid") == F.col("tid")) & (F.col("rank") >= F.col("prefix"))).select("prefix", "ptwu", "tid", "item", "rank", "u", "p", "ru")
-    wide = [r["prefix"] for r in rows.groupBy("prefix").count().where(F.col("count") > ROWS).select("prefix").collect()]  # one number an item at most
+    # A prefix's rows are counted without the join: of each of its transactions, what follows it.
+    behind = F.count("*").over(Window.partitionBy("tid").orderBy("rank").rowsBetween(0, Window.unboundedFollowing))
+    sizes = base.select(F.col("rank").alias("prefix"), behind.alias("n")).groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > ROWS)
+    wide = [r["prefix"] for r in sizes.join(heads, "prefix", "left_semi").collect()]  # one number an item at most
     k, min_prob, kind = params.k, params.min_prob, params.search
 
     def search(group: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import time
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..model import Join, Params, Search
 from ..operators import topk
 from ..operators.entries import entries, first_level
 from ..operators.extend import extend, measured, prune_ep, prune_ptwu, prune_pub, surviving
-from ..operators.stats import item_stats, ranking, valid_items, with_profit
+from ..operators.stats import item_stats, ranking, valid_items, with_profit, with_ptu
 from .grouped import prefix_search
 
 log = logging.getLogger(__name__)
@@ -40,14 +41,15 @@ def level_wise(spark, base: DataFrame, ranks: DataFrame, n_items: int, params: P
 
     Rows are cut to the checkpoint folder after each level, still partitioned by
     transaction: extending is a co-partitioned join, measuring shuffles partial
-    sums only, and survivors come back by broadcast while they are few. After each level the k best reach the driver (k rows at
-    most), and their weakest utility prunes the next. Also returns whether the
+    sums only, and survivors come back by broadcast while they are few. After
+    each level the k best reach the driver (k rows at most), and their weakest
+    utility prunes the next. Also returns whether the
     search came to its end before ``depth``.
     """
     rows, best, number = start if start is not None else first_level(base), held or [], 1
     n_entries = base.count() if params.join is Join.BINARY else None
     while True:
-        found = cut(measured(rows))
+        found = measured(rows).persist(StorageLevel.MEMORY_AND_DISK)
         batch = topk.admitted(found, params.min_prob, best[-1]["eu"] if len(best) >= params.k else 0.0)
         if held:  # results that an earlier round met already
             batch = batch.join(F.broadcast(_held(spark, best).select("items")), "items", "left_anti").select("items", "eu", "ep")
@@ -58,16 +60,24 @@ def level_wise(spark, base: DataFrame, ranks: DataFrame, n_items: int, params: P
         n = alive.count()
         log.debug("level %d: %d alive, threshold %s", number, n, theta)
         if not n or number == depth:
+            found.unpersist()
             return best, not n
         rows, number = cut(extend(surviving(rows, alive, n), base, params.join, n_entries)), number + 1
+        found.unpersist()
 
 
 def prepared(occ: DataFrame, profit: DataFrame, min_prob: float) -> tuple[DataFrame, DataFrame, int]:
-    """Entries, by transaction, the ranking, both computed once, and the number of ranked items."""
-    priced = with_profit(occ, profit)
+    """Entries, by transaction, the ranking, both computed once, and the number of ranked items.
+
+    The input is read and dealt by transaction once; statistics and entries
+    both start from there.
+    """
+    priced = with_ptu(with_profit(occ, profit)).persist(StorageLevel.MEMORY_AND_DISK)
     ranks = cut(ranking(valid_items(item_stats(priced), min_prob)))
     n = ranks.count()
-    return cut(entries(priced, ranks, n)), ranks, n
+    base = cut(entries(priced, ranks, n))
+    priced.unpersist()
+    return base, ranks, n
 
 
 def mine(occ: DataFrame, profit: DataFrame, k: int, min_prob: float, search: Search | str = Search.BREADTH_FIRST, join: str = "two_pointer", collector: str | None = None) -> DataFrame:
