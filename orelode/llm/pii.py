@@ -15,7 +15,6 @@ characters of a digit group, an at-sign or a word written for one.
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from bisect import bisect_left

@@ -16,8 +16,8 @@ Windows in a row with one minimizer make a segment.
    covers all but its first.
 
 A minimizer is one partition key, so the suffix sorts of different keys run
-apart and never meet; a key with too many distinct segments for one sort is
-dealt again by whole windows.
+apart and never meet; the segments of keys with too many distinct ones for one
+sort are ranked together by the same method across tasks (``cover``).
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, slices, text_buffer, written
+from .cover import running, suffix_array, suffix_ranks
 from .shingles import _BASE, _INVERSE, mix, powers
 
 WIDTH, KEY = 100, 32
@@ -46,52 +47,6 @@ BROADCAST = 1_000_000
 TWIN = 1 << 31
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of ``s`` (numbers from 1) in order, by the difference cover {1, 2} modulo 3."""
-    n = len(s)
-    if n < 3:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    if s.max() >= 1 << 31:  # products of two symbols must fit 64 bits
-        s = np.unique(s, return_inverse=True)[1] + 1
-    t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
-    top = int(t.max()) + 1
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # with n % 3 == 1 an empty suffix parts the halves
-    sample = np.concatenate([one, two])
-    if top < 1 << 21:
-        key = (t[sample] * top + t[sample + 1]) * top + t[np.minimum(sample + 2, n + 2)]
-        order = np.argsort(key, kind="stable")
-        fresh = np.append(True, key[order][1:] != key[order][:-1])
-    else:
-        a, b, c = t[sample], t[sample + 1], t[np.minimum(sample + 2, n + 2)]
-        order = np.lexsort((c, b, a))
-        fresh = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (c[order][1:] != c[order][:-1]))
-    names = np.cumsum(fresh)
-    named = np.empty(len(sample), np.int64)
-    named[order] = names
-    if names[-1] < len(sample):
-        order = suffix_array(named)
-    sampled = sample[order]  # suffixes of the sample in order
-    rank = np.zeros(n + 3, np.int64)
-    rank[sampled] = np.arange(1, len(sampled) + 1)
-    sampled = sampled[sampled < n]
-    wide = len(sample) + 2
-    zero = np.arange(0, n, 3)
-    by_one = t[zero] * wide + rank[zero + 1]
-    zero = zero[np.argsort(by_one, kind="stable")]
-    ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    key_one = lambda i: t[i] * wide + rank[i + 1]
-    zero_one = key_one(zero)
-    pair = np.unique(np.concatenate([t[zero] * top + t[zero + 1], t[twos] * top + t[twos + 1]]), return_inverse=True)[1]
-    zero_two, twos_two = pair[: len(zero)] * wide + rank[zero + 2], pair[len(zero) :] * wide + rank[twos + 2]
-    out = np.empty(n, np.int64)
-    out[np.arange(len(zero)) + np.searchsorted(key_one(ones), zero_one) + np.searchsorted(twos_two, zero_two)] = zero
-    place = np.empty(n + 3, np.int64)
-    place[sampled] = np.arange(len(sampled))
-    out[place[ones] + np.searchsorted(zero_one, key_one(ones))] = ones
-    out[place[twos] + np.searchsorted(zero_two, twos_two)] = twos
-    return out
-
-
 def _hash_sums(raw: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(raw)), out=sums[1:])
@@ -228,6 +183,40 @@ def _ranked(rows: DataFrame, keys: list[str], hot) -> DataFrame:
     return dealt.withColumn("later", F.rank().over(inner) > 1)
 
 
+def _crowded(contents: DataFrame, width: int) -> DataFrame:
+    """Spans covered within segments (h, doc, a, content) that are too many for one sort: all as one string, ranked across tasks.
+
+    Neighbours in rank are compared over ``width`` bytes; each run of equal
+    windows covers all but its first. A segment that is met twice is one.
+    """
+    distinct = contents.groupBy("doc", "a").agg(F.max_by("content", F.octet_length("content")).alias("content"))
+    placed = written(running(distinct, ["doc", "a"], at=F.octet_length("content")))
+    n = placed.agg(F.sum(F.octet_length("content"))).first()[0]
+
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = np.frombuffer(content, np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(raw))), pa.array(raw.astype(np.int64) + 1)], names=["i", "c"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, doc, a, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                k = np.arange(len(content) - width + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(at + k), pa.array(np.full(len(k), doc)), pa.array(a + k), pa.array([content[x : x + width] for x in k.tolist()], pa.binary())], names=["i", "doc", "a", "w"])
+
+    ranks = suffix_ranks(placed.select("at", "content").mapInArrow(symbols, "i long, c long"), n)
+    ordered = placed.select("at", "doc", "a", "content").mapInArrow(windows, "i long, doc long, a long, w binary").join(ranks, "i").withColumn("range", F.shiftright("r", 16))
+    ordered = written(ordered.select("range", "r", "doc", "a", "w"))
+    ends = ordered.groupBy("range").agg(F.max_by("w", "r").alias("last"))
+    left = ends.select("range", F.lag("last").over(Window.orderBy("range")).alias("left"))  # a row for each 65536 suffixes
+    before = F.lag("w").over(Window.partitionBy("range").orderBy("r"))
+    fresh = ordered.withColumn("before", before).join(left, "range").select("r", "doc", "a", (~F.coalesce("before", "left").eqNullSafe(F.col("w"))).alias("fresh"))
+    runs = written(running(fresh, ["r"], run=F.col("fresh").cast("int")).withColumn("run", F.col("run") + F.col("fresh").cast("int")))
+    firsts = runs.groupBy("run").agg(F.min(F.struct("doc", "a")).alias("x"), F.max(F.struct("doc", "a")).alias("y")).where("x != y").select("run", "x")
+    return runs.join(firsts, "run").where("(doc, a) > (x.doc, x.a)").select("doc", F.col("a").alias("low"), (F.col("a") + width).alias("high"))
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc, spans``: merged [low, high) byte pairs, flat, of ``docs (doc_id, base, text)``; only documents that have any."""
     counts = written(_minimizers(docs, width, None).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
@@ -268,23 +257,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spans = spans.unionByName(near)
     if crowded:
 
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for doc, a, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    raw = np.frombuffer(content, np.uint8)
-                    n = len(raw) - width + 1
-                    keys = []
-                    for spread in (np.arange(256, dtype=np.uint64), mix(np.arange(256, dtype=np.uint64))):
-                        sums = np.zeros(len(raw) + 1, np.uint64)
-                        np.cumsum((spread[raw] + np.uint64(1)) * powers(_BASE, len(raw)), out=sums[1:])
-                        keys.append(mix((sums[width:] - sums[:-width]) * powers(_INVERSE, n)).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(np.full(n, doc)), pa.array(a + np.arange(n))], names=["c", "e", "doc", "a"])
-
-        single = contents.where(F.col("k") > MOST).select("doc", "a", "content").mapInArrow(windows, "c long, e long, doc long, a long")
-        dealt = written(_ranked(single, ["c", "e"], F.lit(True)))
-        heads = dealt.where("not later")
-        behind = heads.join(heads.groupBy("c", "e").agg(F.min(F.struct("doc", "a")).alias("x")), ["c", "e"]).where("(doc, a) > (x.doc, x.a)").select("doc", "a")
-        spans = spans.unionByName(dealt.where("later").select("doc", "a").unionByName(behind).select("doc", F.col("a").alias("low"), (F.col("a") + width).alias("high")))
+        spans = spans.unionByName(_crowded(contents.where(F.col("k") > MOST).select("h", "doc", "a", "content"), width))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

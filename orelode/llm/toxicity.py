@@ -16,7 +16,6 @@ import math
 import re
 import unicodedata
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 

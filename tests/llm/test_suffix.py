@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from conftest import HARD
 
-from orelode.llm import suffix
+from orelode.llm import cover, suffix
 
 
 def brute(rows, width):
@@ -76,6 +76,21 @@ def test_suffix_arrays():
     r = np.random.default_rng(1)
     for _ in range(800):
         s = r.integers(1, r.integers(2, 5), r.integers(0, 40))
-        assert suffix.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        assert cover.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
     s = r.integers(1, 1 << 40, 50)
-    assert suffix.suffix_array(s).tolist() == sorted(range(50), key=lambda i: s[i:].tolist())
+    assert cover.suffix_array(s).tolist() == sorted(range(50), key=lambda i: s[i:].tolist())
+
+
+@pytest.mark.parametrize("n, letters", [(100, 2), (101, 9), (102, 1)])
+def test_ranks_across_tasks(spark, monkeypatch, n, letters):
+    monkeypatch.setattr(cover, "LOCAL", 40)
+    r = random.Random(n)
+    s = [r.randint(1, letters) for _ in range(n)]
+    got = {x.i: x.r for x in cover.suffix_ranks(spark.createDataFrame(list(enumerate(s)), "i long, c long").repartition(5), n).collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(n), key=lambda i: s[i:])
+
+
+def test_symbols_ahead_over_blocks(spark):
+    s = spark.createDataFrame([(i, i * i + 1) for i in range(23)], "i long, c long")
+    got = sorted(tuple(r) for r in cover._ahead(s, 2, 4).select("i", "c0", "c1", "c2").collect())
+    assert got == [(i, *((j * j + 1 if j < 23 else 0) for j in (i, i + 1, i + 2))) for i in range(23)]
