@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +28,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextmanager
+def planned_as_dealt(spark: SparkSession) -> Iterator[None]:
+    """Plans made within keep their hash partitioning known: an adaptive plan's result counts as dealt anyhow."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
     """The rows of ``df``, computed once and read back from the shared folder.
 
-    Partitioning is kept, so joins on the same key need no new shuffle.
+    With ``dealt`` their partitioning is kept, so joins on the same key need no
+    new shuffle.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not dealt:
+        return df.checkpoint(eager=True)
+    with planned_as_dealt(df.sparkSession):
+        return df.checkpoint(eager=True)

@@ -39,14 +39,20 @@ def upsert(found: DataFrame) -> DataFrame:
     return found.groupBy("items").agg(F.max("eu").alias("eu"), F.max_by("ep", "eu").alias("ep"))
 
 
-def lazy(held: DataFrame, batch: DataFrame, k: int) -> DataFrame:
-    """What a batch leaves of the best k."""
-    return exact(upsert(held.unionByName(batch)), k)
+def lazy(batch: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of a batch that may name an itemset more than once."""
+    return exact(upsert(batch), k)
 
 
-def collect(held: DataFrame, batch: DataFrame, k: int, collector: Collector | str) -> DataFrame:
-    kind = choice(Collector, collector)
-    return lazy(held, batch, k) if kind is Collector.LAZY else (sharded if kind is Collector.SHARDED else exact)(held.unionByName(batch), k)
+def collect(batch: DataFrame, k: int, collector: Collector | str) -> DataFrame:
+    """What a batch can add to the best ``k``."""
+    return {Collector.LAZY: lazy, Collector.SHARDED: sharded, Collector.BASELINE: exact}[choice(Collector, collector)](batch, k)
+
+
+def merged(held: list, batch: list, k: int) -> list:
+    """The best ``k`` rows of two lists of ``k`` at most, best first; an itemset met again counts once."""
+    rows = {tuple(r["items"]): r for r in sorted([*batch, *held], key=lambda r: r["eu"])}
+    return sorted(rows.values(), key=lambda r: (r["eu"], len(r["items"]), list(r["items"])), reverse=True)[:k]
 
 
 def configured(spark: SparkSession) -> Collector:

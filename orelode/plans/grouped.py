@@ -126,9 +126,8 @@ def prefix_search(spark, base: DataFrame, ranks: DataFrame, n: int, params: Para
 
     narrow = rows.where(~F.col("prefix").isin(wide)) if wide else rows
     found = narrow.groupBy("prefix").applyInPandas(search, "items array<int>, eu double, ep double")
-    held = spark.createDataFrame([(list(r["items"]), r["eu"], r["ep"]) for r in best], "items array<int>, eu double, ep double")
-    best = topk.collect(held, found, params.k, params.collector).collect()
+    best = topk.merged(best, topk.collect(found, params.k, params.collector).collect(), params.k)
     if wide:
         start = first_level(base).where(F.col("first_rank").isin(wide))
         best, _ = by_levels(spark, base, ranks, n, params, start=start, held=best)
-    return sorted(best, key=lambda r: (r["eu"], len(r["items"]), list(r["items"])), reverse=True)
+    return best

@@ -7,9 +7,8 @@ import time
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, planned_as_dealt
 from ..model import Join, Params, Search
 from ..operators import topk
 from ..operators.entries import entries, first_level
@@ -43,18 +42,15 @@ def level_wise(spark, base: DataFrame, ranks: DataFrame, n_items: int, params: P
     transaction: extending is a co-partitioned join, measuring shuffles partial
     sums only, and survivors come back by broadcast while they are few. After
     each level the k best reach the driver (k rows at most), and their weakest
-    utility prunes the next. Also returns whether the
-    search came to its end before ``depth``.
+    utility prunes the next. Also returns whether the search came to its end
+    before ``depth``.
     """
     rows, best, number = start if start is not None else first_level(base), held or [], 1
     n_entries = base.count() if params.join is Join.BINARY else None
     while True:
         found = measured(rows).persist(StorageLevel.MEMORY_AND_DISK)
         batch = topk.admitted(found, params.min_prob, best[-1]["eu"] if len(best) >= params.k else 0.0)
-        if held:  # results that an earlier round met already
-            batch = batch.join(F.broadcast(_held(spark, best).select("items")), "items", "left_anti").select("items", "eu", "ep")
-        best = topk.collect(_held(spark, best), batch, params.k, params.collector).collect()
-        best.sort(key=lambda r: (r["eu"], len(r["items"]), list(r["items"])), reverse=True)
+        best = topk.merged(best, topk.collect(batch, params.k, params.collector).collect(), params.k)
         theta = best[-1]["eu"] if len(best) >= params.k else 0.0
         alive = prune_ptwu(prune_pub(prune_ep(found, params.min_prob), theta), ranks, theta, n_items)
         n = alive.count()
@@ -62,7 +58,7 @@ def level_wise(spark, base: DataFrame, ranks: DataFrame, n_items: int, params: P
         if not n or number == depth:
             found.unpersist()
             return best, not n
-        rows, number = cut(extend(surviving(rows, alive, n), base, params.join, n_entries)), number + 1
+        rows, number = cut(extend(surviving(rows, alive, n), base, params.join, n_entries), dealt=True), number + 1
         found.unpersist()
 
 
@@ -72,10 +68,11 @@ def prepared(occ: DataFrame, profit: DataFrame, min_prob: float) -> tuple[DataFr
     The input is read and dealt by transaction once; statistics and entries
     both start from there.
     """
-    priced = with_ptu(with_profit(occ, profit)).persist(StorageLevel.MEMORY_AND_DISK)
+    with planned_as_dealt(occ.sparkSession):
+        priced = with_ptu(with_profit(occ, profit)).persist(StorageLevel.MEMORY_AND_DISK)
     ranks = cut(ranking(valid_items(item_stats(priced), min_prob)))
     n = ranks.count()
-    base = cut(entries(priced, ranks, n))
+    base = cut(entries(priced, ranks, n), dealt=True)
     priced.unpersist()
     return base, ranks, n
 
