@@ -196,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "result_table": lambda s, d: _long(text.result_table(mine(_occ(s, d, "u1"), fixtures.profit(s, "u1"), 10, 0.7)), "rank").withColumns({"eu": F.format_string("%.2f", F.col("eu").cast("double")), "ep": F.format_string("%.4f", F.col("ep").cast("double"))}),
     "topk_sharded_local": lambda s, d: _sharded(s, d, 5).select("shard", itemset_key(F.col("items")).alias("items"), F.round("eu", 4).alias("eu"), "place"),
     "shard_counts": lambda s, d: _sharded(s, d, 1 << 30).groupBy("shard").agg(F.count("*").alias("n"), F.round(F.min("eu"), 4).alias("weakest")),
+    "work_parts": lambda s, d: stats.work_parts(_ranks(s, d, "u2", 0.0), "rank", "ptwu", 8).select(F.col("item").cast("long").alias("item"), F.col("part").cast("long").alias("part")),
     "split_point": lambda s, d: _long(stats.split_point(_ranks(s, d, "u1", 0.7)), "rank"),
     "pattern_order": lambda s, d: _long(topk.ranked(_patterns(s).withColumn("ep", F.lit(1.0))), "rank").select("rank", itemset_key(F.col("items")).alias("items"), "eu"),
     "upsert_dedupe": lambda s, d: topk.upsert(_patterns(s).select(F.array(F.length("t")).alias("items"), "eu", (F.col("eu") / 10).alias("ep"))).withColumn("items", itemset_key(F.col("items"))),

@@ -87,6 +87,13 @@ def split_point(ranks: DataFrame) -> DataFrame:
     return ranks.select("rank", F.sum("ptwu").over(run).alias("running"), F.sum("ptwu").over(whole).alias("total")).where("running >= total / 2").agg(F.min("rank").alias("rank"))
 
 
+def work_parts(work: DataFrame, order: str, weight: str, parts: int) -> DataFrame:
+    """``work`` with ``part``: ranges of ``order`` with about equal sums of ``weight``, from 0 to ``parts`` - 1. One row an item."""
+    run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    middle = (F.sum(weight).over(run) - F.col(weight) / 2) / F.sum(weight).over(Window.partitionBy())
+    return work.withColumn("part", F.least(F.lit(parts - 1), F.floor(middle * parts)).cast("int"))
+
+
 def integrity(occ: DataFrame) -> DataFrame:
     """One row with the counts of occurrences that break a rule of the model."""
     bad = {"quantity": F.col("qty") <= 0, "probability": ~((F.col("prob") > 0) & (F.col("prob") <= 1)) | F.isnan("prob"), "item": F.col("item") < 0}

@@ -117,6 +117,7 @@ WHERE regexp_full_match(t, '-?[0-9]+:-?[0-9]+:-?[0-9.]+') AND TRY_CAST(string_sp
     dealt = f"m AS ({measured('two')}), s AS (SELECT list_sort(items) AS items, eu, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_sort(items)), lambda a, x: (a * {SHARD_BASE} + x) % {SHARD_PRIME}) % 4 AS BIGINT) AS shard FROM m)"
     out["topk_sharded_local"] = f"{u1}, {dealt} SELECT shard, {KEY} AS items, round(eu, 4) + 0e0 AS eu, place FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {ORDER}) AS place FROM s) x WHERE place <= 5"
     out["shard_counts"] = f"{u1}, {dealt} SELECT shard, count(*) AS n, round(min(eu), 4) AS weakest FROM s GROUP BY shard"
+    out["work_parts"] = f"{u2} SELECT CAST(item AS BIGINT) AS item, least(7, CAST(floor((sum(ptwu) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) - ptwu / 2) / sum(ptwu) OVER () * 8) AS BIGINT)) AS part FROM ranks"
     out["split_point"] = f"{u1}, r AS (SELECT rank, sum(ptwu) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running, sum(ptwu) OVER () AS total FROM ranks) SELECT min(rank) AS rank FROM r WHERE running >= total / 2"
     out["pattern_order"] = f"WITH v AS (SELECT CAST(string_split(t, ',') AS INTEGER[]) AS items, eu FROM {values(PATTERNS)} v(t, eu)) SELECT row_number() OVER (ORDER BY {ORDER}) AS rank, {KEY} AS items, eu FROM v"
     out["upsert_dedupe"] = f"WITH v AS (SELECT [CAST(len(t) AS INTEGER)] AS items, eu, eu / 10 AS ep FROM {values(PATTERNS)} v(t, eu)) SELECT {KEY} AS items, max(eu) AS eu, max(ep) AS ep FROM v GROUP BY items"

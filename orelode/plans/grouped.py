@@ -1,16 +1,17 @@
 """Searches that follow one prefix item at a time, as grouped tasks.
 
 The rows of all transactions that hold an item, from its rank upwards, make the
-prefix's group; a group is searched in one task with a threshold of its own,
-which never exceeds the global one, so no result is lost. A prefix whose group
-has more than ``ROWS`` rows is searched by levels instead, spread over tasks.
+prefix's group. Prefixes are dealt to tasks by ranges of about equal work; a task
+searches its groups one after the other with a threshold of its own, which never
+exceeds the global one, so no result is lost. A prefix whose group has more than
+``ROWS`` rows is searched by levels instead, spread over tasks.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from ..functions.shipping import ship
 from ..model import EPSILON, LOG_ZERO, Params, Search
 from ..operators import topk
 from ..operators.entries import first_level, item_lists
-from ..operators.stats import small
+from ..operators.stats import small, work_parts
 
 #: Rows of the largest group that one task takes.
 ROWS = 2_000_000
@@ -36,7 +37,7 @@ def _log_complement(p: np.ndarray) -> np.ndarray:
 class _Search:
     """Depth-first or best-first search below one prefix over columnar lists (transactions, u, p, ru)."""
 
-    def __init__(self, rows: pd.DataFrame, prefix: int, ptwu: float, k: int, min_prob: float, floor: float):
+    def __init__(self, rows: pd.DataFrame, prefix: int, ptwu: float, k: int, min_prob: float, floor: float, heap: list[tuple]):
         self.k, self.min_prob, self.floor, self.ptwu = k, min_prob, floor, ptwu
         self.lists, self.item = {}, {}
         order = rows.sort_values(["rank", "tid"], kind="stable")
@@ -44,7 +45,7 @@ class _Search:
             self.lists[int(rank)] = tuple(part[c].to_numpy() for c in ("tid", "u", "p", "ru"))
             self.item[int(rank)] = int(part["item"].iloc[0])
         self.ranks, self.prefix = sorted(self.lists), prefix
-        self.heap: list[tuple] = []
+        self.heap = heap
 
     def threshold(self) -> float:
         return max(self.floor, self.heap[0][0] if len(self.heap) >= self.k else 0.0)
@@ -110,22 +111,38 @@ def prefix_search(spark, base: DataFrame, ranks: DataFrame, n: int, params: Para
     theta = best[-1]["eu"] if len(best) >= params.k else 0.0
     # No extension of an item has more utility than its upper bounds.
     able = singles.where(F.col("pub") >= theta - EPSILON).select(F.get("items", F.lit(0)).alias("item"))
-    heads = small(cut(ranks.where(F.col("ptwu") >= theta - EPSILON).join(small(able, n), "item", "left_semi").select(F.col("rank").alias("prefix"), "ptwu")), n)
-    left = base.select(F.col("tid").alias("l_tid"), F.col("rank").alias("prefix")).join(heads, "prefix")
-    rows = left.join(base, (F.col("l_tid") == F.col("tid")) & (F.col("rank") >= F.col("prefix"))).select("prefix", "ptwu", "tid", "item", "rank", "u", "p", "ru")
     # A prefix's rows are counted without the join: of each of its transactions, what follows it.
     behind = F.count("*").over(Window.partitionBy("tid").orderBy("rank").rowsBetween(0, Window.unboundedFollowing))
-    sizes = base.select(F.col("rank").alias("prefix"), behind.alias("n")).groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > ROWS)
-    wide = [r["prefix"] for r in sizes.join(heads, "prefix", "left_semi").collect()]  # one number an item at most
+    sizes = base.select("rank", behind.alias("n")).groupBy("rank").agg(F.sum("n").alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = ranks.where(F.col("ptwu") >= theta - EPSILON).join(small(able, n), "item", "left_semi").join(small(sizes, n), "rank")
+    heads = cut(work_parts(known.select(F.col("rank").alias("prefix"), "ptwu", "n"), "prefix", "n", parts))
+    wide = [r["prefix"] for r in heads.where(F.col("n") > ROWS).select("prefix").collect()]  # one number an item at most
+    left = base.select(F.col("tid").alias("l_tid"), F.col("rank").alias("prefix")).join(small(heads.where(F.col("n") <= ROWS), n), "prefix")
+    rows = left.join(base, (F.col("l_tid") == F.col("tid")) & (F.col("rank") >= F.col("prefix"))).select("part", "prefix", "ptwu", "tid", "item", "rank", "u", "p", "ru")
     k, min_prob, kind = params.k, params.min_prob, params.search
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        task = _Search(group, int(group["prefix"].iloc[0]), float(group["ptwu"].iloc[0]), k, min_prob, theta)
-        (task.best_first if kind is Search.BEST_FIRST else task.depth_first)()
-        return pd.DataFrame([(list(i), eu, ep) for eu, _, i, ep in task.heap], columns=["items", "eu", "ep"])
-
-    narrow = rows.where(~F.col("prefix").isin(wide)) if wide else rows
-    found = narrow.groupBy("prefix").applyInPandas(search, "items array<int>, eu double, ep double")
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task's prefixes one after the other; what they find raises the threshold of those that follow."""
+        heap: list[tuple] = []
+
+        def done(held: list[pd.DataFrame]) -> None:
+            group = pd.concat(held) if len(held) > 1 else held[0]
+            task = _Search(group, int(group["prefix"].iloc[0]), float(group["ptwu"].iloc[0]), k, min_prob, theta, heap)
+            (task.best_first if kind is Search.BEST_FIRST else task.depth_first)()
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for prefix, part in batch.groupby("prefix", sort=True):
+                if held and held[0]["prefix"].iloc[0] != prefix:
+                    done(held)
+                    held = []
+                held.append(part)
+        if held:
+            done(held)
+        yield pd.DataFrame([(list(i), eu, ep) for eu, _, i, ep in heap], columns=["items", "eu", "ep"])
+
+    found = rows.repartitionById(parts, "part").sortWithinPartitions("prefix").mapInPandas(search, "items array<int>, eu double, ep double")
     best = topk.merged(best, topk.collect(found, params.k, params.collector).collect(), params.k)
     if wide:
         start = first_level(base).where(F.col("first_rank").isin(wide))

@@ -23,7 +23,7 @@ def test_both_lists_name_the_same():
     assert catalog.queries().keys() == catalog.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", ["fx_occ_u2", "tok_roundtrip", "tok_reject", "item_stats", "item_stats_merge", "item_rank", "suffix_sum", "pair_metrics", "pair_prune_pub", "pair_prune_ptwu", "semi_survivors", "topk_sharded_local", "shard_counts", "profit_lookup", "tx_line_encode", "text_transactions", "text_profits", "baskets", "basket_lookup", "item_span", "pattern_text", "bench_intervals", "split_point", "mine_bfs_u2_k200_p01", "mine_dfs", "mine_topk_lazy", "bench_stats"])
+@pytest.mark.parametrize("name", ["fx_occ_u2", "tok_roundtrip", "tok_reject", "item_stats", "item_stats_merge", "item_rank", "suffix_sum", "pair_metrics", "pair_prune_pub", "pair_prune_ptwu", "semi_survivors", "topk_sharded_local", "shard_counts", "profit_lookup", "tx_line_encode", "text_transactions", "text_profits", "baskets", "basket_lookup", "item_span", "pattern_text", "bench_intervals", "work_parts", "split_point", "mine_bfs_u2_k200_p01", "mine_dfs", "mine_topk_lazy", "bench_stats"])
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     got = duck.execute(catalog.oracle_sql()[name])
