@@ -16,8 +16,9 @@ Windows in a row with one minimizer make a segment.
    covers all but its first.
 
 A minimizer is one partition key, so the suffix sorts of different keys run
-apart and never meet; the segments of keys with too many distinct ones for one
-sort are ranked together by the same method across tasks (``cover``).
+apart and never meet. Of keys with too many distinct segments for one sort each
+window becomes a segment of its own, settled by hash as equal segments are; or,
+at a price, their suffixes are ranked across tasks (``cover``).
 """
 
 from __future__ import annotations
@@ -183,8 +184,28 @@ def _ranked(rows: DataFrame, keys: list[str], hot) -> DataFrame:
     return dealt.withColumn("later", F.rank().over(inner) > 1)
 
 
-def _crowded(contents: DataFrame, width: int) -> DataFrame:
-    """Spans covered within segments (h, doc, a, content) that are too many for one sort: all as one string, ranked across tasks.
+def _by_windows(contents: DataFrame, width: int) -> DataFrame:
+    """Spans covered within segments (doc, a, content) that are too many for one sort: each window as a segment of its own, settled as equal segments are, by 128 bits."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spreads = (np.arange(256, dtype=np.uint64), mix(np.arange(256, dtype=np.uint64)))
+        for batch in batches:
+            for doc, a, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw, n, keys = np.frombuffer(content, np.uint8), len(content) - width + 1, []
+                for spread in spreads:
+                    sums = np.zeros(len(raw) + 1, np.uint64)
+                    np.cumsum((spread[raw] + np.uint64(1)) * powers(_BASE, len(raw)), out=sums[1:])
+                    keys.append(mix((sums[width:] - sums[:-width]) * powers(_INVERSE, n)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(np.full(n, doc)), pa.array(a + np.arange(n))], names=["c", "e", "doc", "a"])
+
+    dealt = written(_ranked(contents.select("doc", "a", "content").mapInArrow(windows, "c long, e long, doc long, a long"), ["c", "e"], F.lit(True)))
+    heads = dealt.where("not later")
+    behind = heads.join(heads.groupBy("c", "e").agg(F.min(F.struct("doc", "a")).alias("x")), ["c", "e"]).where("(doc, a) > (x.doc, x.a)").select("doc", "a")
+    return dealt.where("later").select("doc", "a").unionByName(behind).select("doc", F.col("a").alias("low"), (F.col("a") + width).alias("high"))
+
+
+def _by_ranks(contents: DataFrame, width: int) -> DataFrame:
+    """The same by the difference cover: all segments (doc, a, content) as one string, ranked across tasks.
 
     Neighbours in rank are compared over ``width`` bytes; each run of equal
     windows covers all but its first. A segment that is met twice is one.
@@ -217,7 +238,7 @@ def _crowded(contents: DataFrame, width: int) -> DataFrame:
     return runs.join(firsts, "run").where("(doc, a) > (x.doc, x.a)").select("doc", F.col("a").alias("low"), (F.col("a") + width).alias("high"))
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, across: bool = False) -> DataFrame:
     """``doc, spans``: merged [low, high) byte pairs, flat, of ``docs (doc_id, base, text)``; only documents that have any."""
     counts = written(_minimizers(docs, width, None).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
     wanted = _filter(counts)
@@ -257,7 +278,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spans = spans.unionByName(near)
     if crowded:
 
-        spans = spans.unionByName(_crowded(contents.where(F.col("k") > MOST).select("h", "doc", "a", "content"), width))
+        spans = spans.unionByName((_by_ranks if across else _by_windows)(contents.where(F.col("k") > MOST).select("doc", "a", "content"), width))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +303,7 @@ def _placed(twins: DataFrame) -> DataFrame:
     return dealt.withColumn("nth", inner).join(before, ["key", "range"]).select("key", "h1", ((F.col("before") + F.col("nth")) * TWIN).cast("long").alias("base"))
 
 
-def drop_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, across: bool = False) -> DataFrame:
     """Whole texts, as UTF-8 bytes, less every byte that a repeated string of ``width`` bytes covers.
 
     A string counts as repeated where it also starts earlier, in a document of
@@ -293,7 +314,9 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     texts have 0 bytes. Rows equal in id and text are one document; rows of one
     id with different texts follow each other by the hash of the text; a null
     id comes before all others. Other columns are ignored; an empty table gives
-    an empty result.
+    an empty result. ``across`` sorts crowded segments across tasks instead of
+    settling their windows by hash: no hash decides there, for some 400 bytes
+    of shuffles a byte.
     """
     lowest = F.lit(-(2**63)).cast("long")
     texts = id_text(docs, id_col, text_col).withColumns({"key": F.coalesce("doc_id", lowest), "h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(3), "text"), "n": F.octet_length("text")})
@@ -309,7 +332,7 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     copies = written(slim.join(same, ["h1", "h2", "n"]).where("(key, base) > (x.key, x.base)").select("key", "base", F.col("n").cast("long").alias("n")).distinct())
     few = lambda df, n: F.broadcast(df) if n <= BROADCAST // 2 else df
     judged = texts.join(few(copies.select("key", "base"), copies.count()), ["key", "base"], "left_anti").where(F.col("n") >= width)
-    found = written(repeated_spans(judged.select(F.col("key").alias("doc_id"), "base", "text"), width))
+    found = written(repeated_spans(judged.select(F.col("key").alias("doc_id"), "base", "text"), width, across))
     whole = copies.select(F.col("key").alias("doc"), F.array(F.col("base"), F.col("base") + F.col("n")).alias("spans"))
     spans = found.unionByName(whole)
     ends, rows = spans.agg(F.sum(F.size("spans")), F.count("*")).first()

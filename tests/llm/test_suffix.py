@@ -43,12 +43,13 @@ def form(df):
     return sorted((-(2**63) if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
 
 
-@pytest.mark.parametrize("most", [20_000, 2])
-def test_against_brute_force(table, monkeypatch, most):
-    """With 2, every mixed minimizer is dealt by whole windows."""
+@pytest.mark.parametrize("most, across", [(20_000, False), (2, False), (2, True)])
+def test_against_brute_force(table, monkeypatch, most, across):
+    """With 2, every mixed minimizer is dealt by whole windows, or ranked across tasks."""
     monkeypatch.setattr(suffix, "MOST", most)
+    monkeypatch.setattr(cover, "LOCAL", 1 << 12)
     rows = corpus(1) + [(1000 + i if i else i, t) for i, t in HARD if i != 9]
-    assert form(suffix.drop_repeats(table(rows), 100)) == brute(rows, 100)
+    assert form(suffix.drop_repeats(table(rows), 100, across=across)) == brute(rows, 100)
 
 
 def test_hot_minimizers_and_rows_of_one_id(table, monkeypatch):
