@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch that goes to a Python worker, about; one row at least.
+BATCH = 1 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate results that the session names in ``spark.checkpoint.dir``.
@@ -29,17 +32,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def planned_as_dealt(spark: SparkSession) -> Iterator[None]:
-    """Plans made within keep their hash partitioning known: an adaptive plan's result counts as dealt anyhow."""
-    key = "spark.sql.adaptive.enabled"
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def planned_as_dealt(spark: SparkSession) -> AbstractContextManager[None]:
+    """Plans made within keep their hash partitioning known: an adaptive plan's result counts as dealt anyhow."""
+    return _setting(spark, "spark.sql.adaptive.enabled", "false")
+
+
+def bounded_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Jobs run within send batches of about BATCH bytes to Python workers.
+
+    Spark's own bounds, 10,000 rows and 64 MB, let a batch of texts take tens of
+    MB, which each task holds both in the executor's direct memory and in its
+    worker.
+    """
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
     """The rows of ``df``, computed once and read back from the shared folder.
 
@@ -47,7 +63,5 @@ def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
     new shuffle.
     """
     shared_folder(df.sparkSession)
-    if not dealt:
-        return df.checkpoint(eager=True)
-    with planned_as_dealt(df.sparkSession):
+    with bounded_batches(df.sparkSession), planned_as_dealt(df.sparkSession) if dealt else nullcontext():
         return df.checkpoint(eager=True)

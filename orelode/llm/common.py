@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, shared_folder
+from ..functions.lineage import bounded_batches, cut, shared_folder
 from ..functions.shipping import ship
 
 __all__ = ["cut", "id_text", "read_table", "set_aside", "ship", "slices", "strings", "text_buffer", "written"]
@@ -46,7 +46,8 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"orelode-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from .shingles import WORDS, mix, shingle_sets
 #: Shingles that at least so many documents hold are frequent. Doubled until the frequent ones are 2 ** MOST_BITS at most.
 LEAST, MOST_BITS = 16, 21
 #: Counters of a reducer's share of the counting, and shingles of a task that are packed at once.
-RANGE, PACK = 22, 1 << 22
+RANGE, PACK = 22, 1 << 21
 #: Places of the table of frequency classes that is broadcast: 2 ** TABLE at most.
 TABLE = 24
 #: Rows that are broadcast at most (two numbers each); larger sides are shuffled.
@@ -54,6 +55,8 @@ BROADCAST = 500_000
 BRIEF = 1024
 #: Rows of a group that one task holds at once; a longer group is dealt to pairs of blocks.
 BLOCK = 4096
+#: Text bytes, and pairs of a group, that are worked on by vectors at once.
+SLICE, PAIRS = 1 << 18, 50_000
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -75,6 +78,23 @@ def unpack(packed: bytes, width: int) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != (1 << 8 * width) - 1]
 
 
+def packs(held: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Range, packed slots, slots met more than once and how often beyond once, of a pack's shingles; empties ``held``.
+
+    A pack is sorted in place and told apart range by range, so that it takes
+    twice its own size at most.
+    """
+    slots = np.concatenate(held)
+    held.clear()
+    slots >>= np.uint64(64 - bits)
+    slots.sort()
+    slots = slots.view(np.int64)
+    edges = np.searchsorted(slots, np.arange((1 << bits - RANGE) + 1, dtype=np.int64) << RANGE)
+    for r in np.flatnonzero(np.diff(edges)).tolist():
+        part, c = np.unique(slots[edges[r] : edges[r + 1]] - (r << RANGE), return_counts=True)
+        yield r, pack(part, _width(bits)), part[c > 1].astype(np.int32).tobytes(), (c[c > 1] - 1).astype(np.int32).tobytes()
+
+
 def _slot_bits(texts: DataFrame) -> int:
     """Bits of a shingle's slot: about two slots for each shingle of the corpus, one task's share at least."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -83,34 +103,23 @@ def _slot_bits(texts: DataFrame) -> int:
 
 def _width(bits: int) -> int:
     """Bytes of a packed difference, by the usual gap of a full pack."""
-    return 1 if bits <= 30 else 2 if bits <= 38 else 4
+    return 1 if bits <= 29 else 2 if bits <= 37 else 4
 
 
 def _sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """A row for each document (its set's size, 128-bit hash and signatures), and rows of packed slots by range of the counting."""
-    width = _width(bits)
 
-    def packed(every: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        slots, counts = np.unique(np.concatenate(every) >> np.uint64(64 - bits), return_counts=True)
-        slots = slots.astype(np.int64)
-        edges = np.searchsorted(slots, np.arange((1 << bits - RANGE) + 1, dtype=np.int64) << RANGE)
-        for low in range(0, len(edges) - 1, 256):
-            ranges, once, often, times = [], [], [], []
-            for r in range(low, min(low + 256, len(edges) - 1)):
-                part, c = slots[edges[r] : edges[r + 1]] - (r << RANGE), counts[edges[r] : edges[r + 1]]
-                if len(part):
-                    ranges.append(r)
-                    once.append(pack(part, width))
-                    often.append(part[c > 1].astype(np.int32).tobytes())
-                    times.append((c[c > 1] - 1).astype(np.int32).tobytes())
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for some in batched(packs(held, bits), 64):
+            ranges, *parts = zip(*some, strict=True)
             none = [pa.nulls(len(ranges), k) for k in (pa.int64(),) * 5 + (pa.binary(),) * 2]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(ranges, pa.int64()), *(pa.array(x, pa.binary()) for x in (once, often, times))], names=names)
+            yield pa.RecordBatch.from_arrays([*none, pa.array(ranges, pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], names=names)
 
     names = ["doc_id", "text_hash", "n", "k1", "k2", "sign", "brief", "range", "once", "often", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, have = [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             sets = shingle_sets(batch.column(2), size)
             n = np.array([len(s) for s in sets], np.int64)
             every = np.concatenate(sets)
@@ -127,7 +136,7 @@ def _sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
             have += len(every)
             if have >= PACK:
                 yield from packed(held)
-                held, have = [], 0
+                have = 0
         if have:
             yield from packed(held)
 
@@ -224,7 +233,7 @@ def _index(docs: DataFrame, shared: Broadcast, wide: int, percent: int, size: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             sets = shingle_sets(batch.column(1), size)
             parts = []
             for s in sets:
@@ -291,7 +300,7 @@ def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray | None] = (None, None)
-        for batch in slices(batches, "text_a"):
+        for batch in slices(batches, "text_a", SLICE):
             ok = np.zeros(batch.num_rows, bool)
             sets = shingle_sets(batch.column(2), size)
             for i, (s, text) in enumerate(zip(sets, batch.column(3), strict=True)):
@@ -316,7 +325,7 @@ def group_pairs(doc: np.ndarray, component: np.ndarray, block: np.ndarray, n: np
     minor = component != names[size.argmax()]
     outside = np.flatnonzero(minor)
     rows, others = [], []
-    step = max(1, 200_000 // len(doc))
+    step = max(1, PAIRS // len(doc))
     for low in range(0, len(outside), step):
         x = outside[low : low + step, None]
         ok = (component != component[x]) & ((mask & mask[x]) != 0) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))

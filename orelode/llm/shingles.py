@@ -28,7 +28,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept up to 8 million."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(1 << 18, 1 << (n - 1).bit_length()) if n <= 8 << 20 else n
         have = np.empty(size, np.uint64)
         have[0] = 1
         done = 1

@@ -1,11 +1,14 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from conftest import HARD
 
+from orelode.functions.lineage import BATCH
 from orelode.llm import joins
+from orelode.llm.common import cut, written
 from orelode.llm.graph import components
 from orelode.llm.shingles import shingle_sets
 
@@ -104,3 +107,40 @@ def test_shingle_hashes_are_the_shingles():
     for t, s in zip(texts, shingle_sets(pa.array(texts)), strict=True):
         assert known.setdefault(tuple(s.tolist()), shingles(t)) == shingles(t) and len(s) == len(shingles(t))
     assert len({frozenset(v) for v in known.values()}) == len(known)
+
+
+def test_a_pack_takes_twice_its_size():
+    r = np.random.default_rng(4)
+    held = [r.integers(0, 1 << 64, 1 << 16, dtype=np.uint64) for _ in range(16)]
+    held[3][:] = held[2]
+    bits = 26
+    slots, counts = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
+    want, size = dict(zip(slots.tolist(), counts.tolist(), strict=True)), sum(x.nbytes for x in held)
+    tracemalloc.start()
+    found, most = {}, 0
+    for at, once, often, times in joins.packs(held, bits):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        part = {(at << joins.RANGE) + s: 1 for s in joins.unpack(once, joins._width(bits)).tolist()}
+        for s, c in zip(np.frombuffer(often, np.int32).tolist(), np.frombuffer(times, np.int32).tolist(), strict=True):
+            part[(at << joins.RANGE) + s] += c
+        found |= part
+        tracemalloc.reset_peak()
+        if len(found) == len(part):
+            first = most
+    tracemalloc.stop()
+    assert found == want and not held and first < 1.5 * size
+
+
+def test_batches_of_texts_are_bounded_in_bytes(spark):
+    """Ten thousand rows of any length made one batch before, up to 64 MB."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for kept in (cut, written):
+        texts = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 4000) as text")
+        n = [r.n for r in kept(texts.mapInArrow(sizes, "n long")).collect()]
+        assert sum(n) >= 12_000_000 and max(n) < 2 * BATCH and spark.conf.get(key) == before
