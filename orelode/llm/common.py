@@ -14,7 +14,23 @@ from pyspark.sql import functions as F
 from ..functions.lineage import bounded_batches, cut, shared_folder
 from ..functions.shipping import ship
 
-__all__ = ["cut", "id_text", "read_table", "set_aside", "ship", "slices", "strings", "text_buffer", "written"]
+__all__ = ["cut", "forget", "id_text", "left_behind", "read_table", "set_aside", "ship", "slices", "strings", "text_buffer", "written"]
+
+
+#: What the operators' tasks leave in a Python worker for later ones, which saves them time only.
+_left: list[dict] = []
+
+
+def left_behind(cache: dict) -> dict:
+    """``cache``, which ``forget`` empties."""
+    _left.append(cache)
+    return cache
+
+
+def forget() -> None:
+    """Frees what tasks of other operators left in this Python worker, for a task that needs the room."""
+    for cache in _left:
+        cache.clear()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, set_aside, slices, written
+from .common import cut, forget, id_text, set_aside, slices, written
 from .graph import components
 from .shingles import WORDS, mix, shingle_sets
 
@@ -118,6 +118,7 @@ def _sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
     names = ["doc_id", "text_hash", "n", "k1", "k2", "sign", "brief", "range", "once", "often", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, have = [], 0
         for batch in slices(batches, most=SLICE):
             sets = shingle_sets(batch.column(2), size)
@@ -232,6 +233,7 @@ def _index(docs: DataFrame, shared: Broadcast, wide: int, percent: int, size: in
     shift = np.uint64(64 - wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         level_of = shared.value
         for batch in slices(batches, most=SLICE):
             sets = shingle_sets(batch.column(1), size)

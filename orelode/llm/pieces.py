@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, strings
+from .common import id_text, left_behind, strings
 
 SPACE = "▁"  # stands for a blank within pieces
 CACHE = 300_000
@@ -193,7 +193,7 @@ class _Encoded(dict):
         return packed
 
 
-_ready: dict[tuple[int, str], tuple[Model, dict]] = {}
+_ready: dict[tuple[int, str], tuple[Model, dict]] = left_behind({})
 
 
 def _worker(raw: bytes, kind: type) -> tuple[Model, dict]:

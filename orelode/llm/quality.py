@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import id_text, set_aside, strings
+from .common import id_text, left_behind, set_aside, strings
 
 DIM = 1 << 14
 REPEAT = 0  # the bucket of words that repeat the one before
@@ -43,7 +43,7 @@ class _Buckets(dict):
         return both
 
 
-_buckets = _Buckets()
+_buckets = left_behind(_Buckets())
 
 
 def features(text: str) -> np.ndarray:

@@ -7,8 +7,8 @@ import pyarrow as pa
 from conftest import HARD
 
 from orelode.functions.lineage import BATCH
-from orelode.llm import joins
-from orelode.llm.common import cut, written
+from orelode.llm import joins, pieces, quality
+from orelode.llm.common import cut, forget, written
 from orelode.llm.graph import components
 from orelode.llm.shingles import shingle_sets
 
@@ -144,3 +144,10 @@ def test_batches_of_texts_are_bounded_in_bytes(spark):
         texts = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 4000) as text")
         n = [r.n for r in kept(texts.mapInArrow(sizes, "n long")).collect()]
         assert sum(n) >= 12_000_000 and max(n) < 2 * BATCH and spark.conf.get(key) == before
+
+
+def test_what_other_operators_left_in_a_worker_goes():
+    quality._buckets["word"]
+    pieces._ready[(0, "")] = (None, {})
+    forget()
+    assert not quality._buckets and not pieces._ready
