@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,23 +15,52 @@ from pyspark.sql import functions as F
 from ..functions.lineage import bounded_batches, cut, shared_folder
 from ..functions.shipping import ship
 
-__all__ = ["cut", "forget", "id_text", "left_behind", "read_table", "set_aside", "ship", "slices", "strings", "text_buffer", "written"]
+__all__ = ["cut", "forget", "frugal", "give_back", "id_text", "left_behind", "read_table", "set_aside", "ship", "slices", "strings", "text_buffer", "written"]
 
 
 #: What the operators' tasks leave in a Python worker for later ones, which saves them time only.
-_left: list[dict] = []
+_left: list[tuple[str, dict]] = []
 
+#: Hands freed pages back to the system; glibc has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
-def left_behind(cache: dict) -> dict:
-    """``cache``, which ``forget`` empties."""
-    _left.append(cache)
+
+def left_behind(cache: dict, owner: str = "") -> dict:
+    """``cache``, which ``forget`` empties, but for tasks of its owner."""
+    _left.append((owner, cache))
     return cache
 
 
-def forget() -> None:
-    """Frees what tasks of other operators left in this Python worker, for a task that needs the room."""
-    for cache in _left:
-        cache.clear()
+def forget(but: str | None = None) -> None:
+    """Frees what tasks of other operators left in this Python worker, all but the caches of owner ``but``."""
+    had = False
+    for owner, cache in _left:
+        if owner != but and cache:
+            cache.clear()
+            had = True
+    if had:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns memory that is free to the system, which the allocators of C and of Arrow would keep in this process."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a Python worker, which outlives it: nothing of other operators stays in it before, no free memory after.
+
+    Idle workers count towards an executor's memory as busy ones do.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(owner)
+        yield from run(batches)
+        give_back()
+
+    return task
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

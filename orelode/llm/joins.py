@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, forget, id_text, set_aside, slices, written
+from .common import cut, frugal, id_text, set_aside, slices, written
 from .graph import components
 from .shingles import WORDS, mix, shingle_sets
 
@@ -118,7 +118,6 @@ def _sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
     names = ["doc_id", "text_hash", "n", "k1", "k2", "sign", "brief", "range", "once", "often", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         held, have = [], 0
         for batch in slices(batches, most=SLICE):
             sets = shingle_sets(batch.column(2), size)
@@ -142,7 +141,7 @@ def _sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
             yield from packed(held)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, sign binary, brief binary, range long, once binary, often binary, times binary")
+    return rows.mapInArrow(frugal(run), "doc_id long, text_hash long, n long, k1 long, k2 long, sign binary, brief binary, range long, once binary, often binary, times binary")
 
 
 def _frequent(found: DataFrame, bits: int) -> DataFrame:
@@ -169,7 +168,7 @@ def _frequent(found: DataFrame, bits: int) -> DataFrame:
             yield done(last, counts)
 
     packs = found.where("range is not null").select("range", "once", "often", "times")
-    return packs.repartition("range").sortWithinPartitions("range").mapInArrow(run, "slot long, level int")
+    return packs.repartition("range").sortWithinPartitions("range").mapInArrow(frugal(run), "slot long, level int")
 
 
 def _levels(found: DataFrame, bits: int) -> np.ndarray:
@@ -233,7 +232,6 @@ def _index(docs: DataFrame, shared: Broadcast, wide: int, percent: int, size: in
     shift = np.uint64(64 - wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         level_of = shared.value
         for batch in slices(batches, most=SLICE):
             sets = shingle_sets(batch.column(1), size)
@@ -253,7 +251,7 @@ def _index(docs: DataFrame, shared: Broadcast, wide: int, percent: int, size: in
             for low in range(0, len(docs_of), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in columns], names=["token", "doc", "n", "l", "level"])
 
-    return docs.mapInArrow(run, "token long, doc long, n int, l int, level int")
+    return docs.mapInArrow(frugal(run), "token long, doc long, n int, l int, level int")
 
 
 def _groups(index: DataFrame) -> DataFrame:
@@ -284,7 +282,7 @@ def possible(signs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             cols = [batch.column(k) for k in range(2, 6)]
             yield batch.select([0, 1]).filter(pa.array([may_reach(*(x.as_py() for x in c), percent) for c in zip(*cols, strict=True)], pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "sign_a", "sign_b", "n_a", "n_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sign_a", "sign_b", "n_a", "n_b").mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int, size: int = WORDS) -> DataFrame:
@@ -313,7 +311,7 @@ def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int,
                 ok[i] = 100 * common >= percent * (len(s) + len(last[1]) - common) and common > 0
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return cut(left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
+    return cut(left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(frugal(run), "a long, b long").distinct())
 
 
 def group_pairs(doc: np.ndarray, component: np.ndarray, block: np.ndarray, n: np.ndarray, k: np.ndarray, mask: np.ndarray, brief: np.ndarray, percent: int, between: bool, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -394,7 +392,7 @@ def _across(groups: DataFrame, signs: DataFrame, labels: DataFrame, percent: int
             yield from flush()
 
     tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as the work is more than the bytes tell
-    pairs = dealt.repartition(tasks, "centre", "low", "high").sortWithinPartitions("centre", "low", "high").mapInArrow(run, "a long, b long, l long, c long")
+    pairs = dealt.repartition(tasks, "centre", "low", "high").sortWithinPartitions("centre", "low", "high").mapInArrow(frugal(run), "a long, b long, l long, c long")
     if best:
         return pairs.select("a", "b").distinct()
     return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("l").alias("l")).where("c >= l").select("a", "b")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, text_buffer
+from .common import frugal, id_text, slices, text_buffer
 from .shingles import mix, runs, words
 
 #: Items of fewer words must occur as they are.
@@ -432,6 +432,6 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, recall
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-        part = id_text(docs, id_col, text_col).mapInArrow(run, schema)
+        part = id_text(docs, id_col, text_col).mapInArrow(frugal(run, "shingles"), schema)
         out = part if out is None else out.unionByName(part)
     return out

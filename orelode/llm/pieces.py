@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, left_behind, strings
+from .common import frugal, id_text, left_behind, strings
 
 SPACE = "▁"  # stands for a blank within pieces
 CACHE = 300_000
@@ -193,7 +193,7 @@ class _Encoded(dict):
         return packed
 
 
-_ready: dict[tuple[int, str], tuple[Model, dict]] = left_behind({})
+_ready: dict[tuple[int, str], tuple[Model, dict]] = left_behind({}, "pieces")
 
 
 def _worker(raw: bytes, kind: type) -> tuple[Model, dict]:
@@ -235,7 +235,7 @@ def token_counts(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = id_text(docs, id_col, text_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(frugal(count, "pieces"), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def encode_text(text: str, cache: dict, chunks) -> np.ndarray:
@@ -275,7 +275,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_text(docs, id_col, text_col).mapInArrow(frugal(run, "pieces"), "doc_id long, ids array<int>")
 
 
 class Decoder:
@@ -333,4 +333,4 @@ def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
             n, digest, size, decoded, exact = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(size, pa.int64()), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "n_bytes", "decoded_sha256", "exact"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, n_bytes long, decoded_sha256 string, exact boolean")
+    return id_text(docs, id_col, text_col).mapInArrow(frugal(run, "pieces"), "doc_id long, n_pieces long, ids_sha256 string, n_bytes long, decoded_sha256 string, exact boolean")

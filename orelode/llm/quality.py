@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import id_text, left_behind, set_aside, strings
+from .common import frugal, id_text, left_behind, set_aside, strings
 
 DIM = 1 << 14
 REPEAT = 0  # the bucket of words that repeat the one before
@@ -43,7 +43,7 @@ class _Buckets(dict):
         return both
 
 
-_buckets = left_behind(_Buckets())
+_buckets = left_behind(_Buckets(), "quality")
 
 
 def features(text: str) -> np.ndarray:
@@ -165,7 +165,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, most: int = 4000, id_col:
                 found = [sparse(t) for t in strings(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["grade", "cols", "vals"])
 
-    got = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(rows, "grade int, cols binary, vals binary").collect()
+    got = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(frugal(rows, "quality"), "grade int, cols binary, vals binary").collect()
     return [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32), g) for g, c, v in sorted((r["grade"], bytes(r["cols"]), bytes(r["vals"])) for r in got)]
 
 
@@ -192,8 +192,8 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 
     if keep:
         rest, names = set_aside(docs.drop("expected_grade", "tails"), id_col, text_col)
-        return rest.mapInArrow(rows, StructType([*rest.schema.fields, StructField("expected_grade", DoubleType()), StructField("tails", ArrayType(DoubleType()))])).withColumnsRenamed(names)
-    return id_text(docs, id_col, text_col).mapInArrow(rows, "doc_id long, expected_grade double, tails array<double>")
+        return rest.mapInArrow(frugal(rows, "quality"), StructType([*rest.schema.fields, StructField("expected_grade", DoubleType()), StructField("tails", ArrayType(DoubleType()))])).withColumnsRenamed(names)
+    return id_text(docs, id_col, text_col).mapInArrow(frugal(rows, "quality"), "doc_id long, expected_grade double, tails array<double>")
 
 
 def grades(labels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import text_buffer
+from .common import left_behind, text_buffer
 
 WORDS = 5
 _ODD = 0x9E3779B97F4A7C15
@@ -21,7 +21,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = left_behind({}, "shingles")
 
 
 def powers(base: int, n: int) -> np.ndarray:

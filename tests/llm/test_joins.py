@@ -1,5 +1,6 @@
 import random
 import re
+import resource
 import tracemalloc
 
 import numpy as np
@@ -8,7 +9,7 @@ from conftest import HARD
 
 from orelode.functions.lineage import BATCH
 from orelode.llm import joins, pieces, quality
-from orelode.llm.common import cut, forget, written
+from orelode.llm.common import cut, forget, frugal, written
 from orelode.llm.graph import components
 from orelode.llm.shingles import shingle_sets
 
@@ -151,3 +152,34 @@ def test_what_other_operators_left_in_a_worker_goes():
     pieces._ready[(0, "")] = (None, {})
     forget()
     assert not quality._buckets and not pieces._ready
+
+
+def _own() -> int:
+    """MB of this process that it shares with no file."""
+    with open("/proc/self/statm") as f:
+        resident, shared = map(int, f.read().split()[1:3])
+    return (resident - shared) * resource.getpagesize() >> 20
+
+
+def test_what_goes_is_given_back_to_the_system():
+    """Freed memory below something that stays was kept by the process before."""
+    pieces._ready[(0, "")] = (None, {i: bytes(2000) for i in range(50_000)})
+    above, full = [bytes(2000) for _ in range(1000)], _own()
+    forget()
+    assert full - _own() > 80 and len(above) == 1000
+
+
+def test_a_frugal_task_keeps_its_own_and_gives_back_the_rest():
+    above, used = [], []
+
+    def run(batches):
+        held = [bytes(2000) for _ in range(50_000)]
+        above.extend(bytes(2000) for _ in range(1000))
+        used.append(_own())
+        yield from batches
+        del held
+
+    quality._buckets["word"]
+    pieces._ready[(0, "")] = (None, {})
+    assert list(frugal(run, "quality")(iter("ab"))) == ["a", "b"]
+    assert used[0] - _own() > 80 and "word" in quality._buckets and not pieces._ready
