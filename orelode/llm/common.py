@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import bounded_batches, cut, shared_folder
 from ..functions.shipping import ship
 
-__all__ = ["cut", "forget", "frugal", "give_back", "id_text", "left_behind", "read_table", "set_aside", "ship", "slices", "strings", "text_buffer", "written"]
+__all__ = ["cut", "forget", "frugal", "give_back", "id_text", "left_behind", "pooled", "read_table", "set_aside", "ship", "slices", "strings", "text_buffer", "written"]
 
 
 #: What the operators' tasks leave in a Python worker for later ones, which saves them time only.
@@ -63,6 +63,16 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     return task
 
 
+def pooled(df: DataFrame) -> DataFrame:
+    """``df`` of short rows, in no more partitions than tasks run at once.
+
+    Every file that an executor writes to a local folder costs it two processes
+    (``chmod`` for the file and its checksum), so tables of ids are not cut into
+    a file for each shuffle partition.
+    """
+    return df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by Spark's reader only."""
     ship(spark)

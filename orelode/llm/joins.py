@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, frugal, id_text, set_aside, slices, written
+from .common import cut, frugal, id_text, pooled, set_aside, slices, written
 from .graph import components
 from .shingles import WORDS, mix, shingle_sets
 
@@ -266,7 +266,7 @@ def _groups(index: DataFrame) -> DataFrame:
     lists = Window.partitionBy("token", "part")
     met = salted.select("token", "doc", "n", "l", "level", F.min("doc").over(lists).alias("centre"), F.max("doc").over(lists).alias("other"))
     live = written(met.where("centre != other or level > 0").select("token", "doc", "n", "l", F.col("level").alias("frequent").cast("boolean"), "centre"))
-    tops = cut(live.where("frequent").groupBy("token").agg(F.min("centre").alias("top"), F.max("doc").alias("other")).where("top != other").select("token", "top"))
+    tops = cut(pooled(live.where("frequent").groupBy("token").agg(F.min("centre").alias("top"), F.max("doc").alias("other")).where("top != other").select("token", "top")))
     dealt = live.where("frequent").join(_small(tops, tops.count()), "token").withColumn("centre", F.col("top")).drop("top")
     every = live.where("not frequent").unionByName(dealt)
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(token), 64) as int))")
@@ -292,7 +292,7 @@ def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int,
     their ``b``; a ``b`` with many pairs is a skewed key of a plain join, which
     Spark splits.
     """
-    pairs = cut(possible(signs, pairs.select("a", "b"), percent))
+    pairs = cut(pooled(possible(signs, pairs.select("a", "b"), percent)))
     n = pairs.count()
     left = docs.join(_small(pairs, n), docs["doc_id"] == pairs["a"]).select("a", "b", F.col("text").alias("text_a"))
     ends = pairs.select("b").distinct()
@@ -311,7 +311,7 @@ def verified(docs: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int,
                 ok[i] = 100 * common >= percent * (len(s) + len(last[1]) - common) and common > 0
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return cut(left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(frugal(run), "a long, b long").distinct())
+    return cut(pooled(left.join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(frugal(run), "a long, b long").distinct()))
 
 
 def group_pairs(doc: np.ndarray, component: np.ndarray, block: np.ndarray, n: np.ndarray, k: np.ndarray, mask: np.ndarray, brief: np.ndarray, percent: int, between: bool, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -403,7 +403,7 @@ def _hooked(parents: DataFrame, rounds: int = 2) -> DataFrame:
     for _ in range(rounds):
         up = parents.select(F.col("node").alias("component"), F.col("component").alias("up"))
         parents = parents.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-    return cut(parents)
+    return cut(pooled(parents))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -412,7 +412,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).where("x != y")
     hooks = _hooked(ends.groupBy(F.greatest("x", "y").alias("node")).agg(F.min(F.least("x", "y")).alias("component")))
     above = hooks.select(F.col("node").alias("component"), F.col("component").alias("up"))
-    return cut(labels.join(above, "component", "left").select("node", F.coalesce("up", "component").alias("component")).unionByName(hooks.join(labels.select("node"), "node", "left_anti")))
+    return cut(pooled(labels.join(above, "component", "left").select("node", F.coalesce("up", "component").alias("component")).unionByName(hooks.join(labels.select("node"), "node", "left_anti"))))
 
 
 def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -439,8 +439,8 @@ def likeness_components(docs: DataFrame, percent: int = 75, size: int = WORDS, i
     signs = found.where("doc_id is not null and n > 0").select("doc_id", "sign", "brief", "n")
     classes = known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     members = known.join(classes, ["k1", "k2"])
-    copies = cut(members.where("doc_id != rep.doc_id or text_hash != rep.text_hash").select("doc_id", "text_hash", F.col("rep.doc_id").alias("class_id")).distinct())
-    none = cut(rows.where("doc_id is null or n = 0").select("doc_id", "text_hash").where("doc_id is not null").distinct())
+    copies = cut(pooled(members.where("doc_id != rep.doc_id or text_hash != rep.text_hash").select("doc_id", "text_hash", F.col("rep.doc_id").alias("class_id")).distinct()))
+    none = cut(pooled(rows.where("doc_id is null or n = 0").select("doc_id", "text_hash").where("doc_id is not null").distinct()))
     keyed = texts.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
     for gone in (copies, none):
         keyed = keyed.join(_small(gone.select("doc_id", "text_hash"), gone.count()), ["doc_id", "text_hash"], "left_anti")
@@ -472,9 +472,9 @@ def one_of_each(docs: DataFrame, percent: int = 75, size: int = WORDS) -> DataFr
     columns = docs.columns
     docs, names = set_aside(docs, "doc_id", "text")
     found = cut(likeness_components(docs, percent, size).select("doc_id", "component_id"))
-    gone = cut(found.where("doc_id != component_id").select("doc_id").distinct())
+    gone = cut(pooled(found.where("doc_id != component_id").select("doc_id").distinct()))
     left = docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-    twins = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    twins = cut(pooled(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")))
     n = twins.count()
     if not n:
         return left.withColumnsRenamed(names).select(*columns)

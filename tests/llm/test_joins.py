@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import resource
@@ -183,3 +184,23 @@ def test_a_frugal_task_keeps_its_own_and_gives_back_the_rest():
     pieces._ready[(0, "")] = (None, {})
     assert list(frugal(run, "quality")(iter("ab"))) == ["a", "b"]
     assert used[0] - _own() > 80 and "word" in quality._buckets and not pieces._ready
+
+
+def test_small_tables_are_cut_into_few_files(spark):
+    """Each took a file, and two processes, for every shuffle partition before."""
+    few = max(2, spark.sparkContext.defaultParallelism)
+    settings = {"spark.sql.shuffle.partitions": str(3 * few), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    links = spark.range(1, 200).selectExpr("id as a", "id - 1 as b")
+    cut(spark.range(1))  # the folder is there
+    top = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    had = set(os.listdir(top))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(200)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [sum(f.startswith("part-") for f in os.listdir(f"{top}/{x}")) for x in set(os.listdir(top)) - had]
+    assert files and max(files) <= few
